@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, simhash, warc
+from . import decontaminate, matroska, packing, simhash, warc
 from .common import table
 
 
@@ -27,8 +27,12 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.media(table(spark, sf_dir, "documents")))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op5_packing, op6_simhash, op9_matroska)}
+    return {f.__name__: f for f in (op3_warc, op5_packing, op6_simhash, op9_matroska, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
