@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, matroska, packing, pii, secrets, simhash, warc
+from . import decontaminate, matroska, packing, pii, quality, secrets, simhash, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stored_digest_ok", "offset", "length")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "unit", "gap")
 
@@ -40,7 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op5_packing, op6_simhash, op9_matroska, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op9_matroska, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
