@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, matroska, packing, pii, quality, secrets, simhash, warc
+from . import decontaminate, language, matroska, packing, pii, quality, secrets, simhash, urls, warc
 from .common import table
 
 
@@ -35,6 +35,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.media(table(spark, sf_dir, "documents")))
 
@@ -44,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op9_matroska, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op7_urls, op8_language, op9_matroska, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
