@@ -4,12 +4,179 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
+from folioscope.operators import classify, clean, correct, grade, jsonx, lines, merge
+from folioscope.plans import oracle as O
+from folioscope.plans import pipeline, render
+from folioscope.sources import files
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _over_documents(step: Callable[[Column], Column], name: str = "text") -> Query:
+    return lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", step(F.col("text")).alias(name))
+
+
+def _over_corpus(corpus: str, **steps: Callable[[Column], Column]) -> Query:
+    return lambda spark, sf_dir: render.corpus(spark, corpus).select("doc_id", *(f(F.col("text")).alias(k) for k, f in steps.items()))
+
+
+def _validated(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    v = F.col("v")
+    return rows.withColumn("v", grade.validation(text)).select(
+        *keep, v["quality"].alias("quality"), v["quality_score"].cast("long").alias("quality_score"), F.array_join(v["issues"], "; ").alias("issues"),
+        *(v[c].cast("long").alias(c) for c in ("char_count", "arabic_chars", "english_chars", "digit_chars", "line_count")), v["arabic_ratio"].alias("arabic_ratio"),
+    )
+
+
+def validate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(_documents(spark, sf_dir), F.col("text"), "doc_id")
+
+
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).withColumn("g", grade.gate(F.col("text")))
+    return rows.select("doc_id", F.col("g.quality").alias("quality"), F.array_join("g.issues", "; ").alias("issues"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate_quality(spark, sf_dir).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+def clean_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the grade of their raw text and of their text without repeated lines."""
+    rows = _documents(spark, sf_dir).withColumn("kept", lines.drop_near_duplicates(lines.drop_runs(F.col("text"))))
+    graded = rows.select(grade.validation(F.col("text"))["quality"].alias("raw_quality"), grade.validation(F.col("kept"))["quality"].alias("clean_quality"))
+    return graded.groupBy("raw_quality", "clean_quality").agg(F.count("*").alias("n"))
+
+
+def quality_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return validate_quality(spark, sf_dir).join(labels, "doc_id").groupBy("quality", "label").agg(F.count("*").alias("n"))
+
+
+def most_common_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).withColumn("m", lines.most_common_line(F.col("text")))
+    return rows.where("m is not null").select("doc_id", F.col("m.line").alias("line"), F.col("m.n").cast("long").alias("n"))
+
+
+def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", *(c.cast("long").alias(k) for k, c in T.char_classes(F.col("text")).items()))
+
+
+def strip_code_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", clean.drop_code(F.col("html")).alias("text"))
+
+
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.rendered(spark, sf_dir).withColumn("normal", T.normal_form(F.col("text"), hamza=True, tatweel=True))
+    scored = rows.select("doc_id", F.explode(classify.keyword_scores(F.col("normal"))).alias("s"))
+    return scored.where("s.weighted > 0").select("doc_id", F.col("s.document_type").alias("document_type"), F.col("s.weighted").alias("weighted"), F.size("s.matched").cast("long").alias("matches"), F.bround("s.confidence", 2).alias("confidence"))
+
+
+def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.rendered(spark, sf_dir).withColumn("normal", T.normal_form(F.col("text"), hamza=True, tatweel=True))
+    points = classify.structure_points(F.col("normal"), T.filled_lines(F.col("text")))
+    return rows.select("doc_id", *(c.cast("long").alias(k) for k, c in points.items()))
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(render.rendered(spark, sf_dir))
+
+
+def classify_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("classification")
+    return _classified(spark, sf_dir).select("doc_id", c["document_type"].alias("document_type"), c["name_en"].alias("name_en"), F.bround(c["confidence"], 4).alias("confidence"), c["method"].alias("method"), c["keyword_matches"].cast("long").alias("keyword_matches"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir).withColumn("validation", grade.validation(F.col("text"), F.col("file_name")))
+    return rows.withColumns({"error": F.when(F.col("doc_id") % 97 == 0, "unreadable"), "processing_time": F.lit(0.0)})
+
+
+def type_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.report(_results(spark, sf_dir)).withColumn("confidence", F.bround("confidence", 4))
+
+
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.type_counts(files.report(_results(spark, sf_dir)))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.report(_results(spark, sf_dir)).agg(F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") != "success").alias("failed"))
+
+
+def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each line to the one after it."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.transform(T.filled_lines(F.col("text")), lambda x: T.normal_form(x, hamza=True)).alias("l"))
+    pairs = rows.select("doc_id", F.posexplode(F.zip_with(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("n", "p"))
+    return pairs.select("doc_id", F.col("n").cast("long").alias("n"), F.bround(T.similarity(F.col("p.a"), F.col("p.b")), 6).alias("similarity"))
+
+
+def pick_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first three lines of each document the best one."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.slice(T.filled_lines(F.col("text")), 1, 3).alias("l")).where(F.size("l") > 0)
+    return rows.select("doc_id", merge.best_line(F.col("l")).alias("line"))
+
+
+def consensus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_passes(render.passes(_documents(spark, sf_dir)))
+
+
+def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes, answers and texts of rendered documents through every step."""
+    docs = render.rendered(spark, sf_dir)
+    readings = render.passes(docs).withColumn("file_name", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf"))).drop("doc_id")
+    answers = docs.select("file_name", F.concat(F.lit('{"document_type": "'), F.element_at(F.split("text", "\n"), 1), F.lit('", "invoice_date": null}')).alias("raw"))
+    out = pipeline.run(docs, pipeline.TableBackend(readings, answers))
+    return out.select("file_name", "ocr_text", "json_data", F.col("gate.quality").alias("gate"), F.col("validation.quality").alias("quality"), "classification.document_type", "classification.confidence", "classification.method", "classification.model_said")
+
+
+def parse_json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jsonx.parsed(render.corpus(spark, "answers").withColumnRenamed("text", "raw"))
+    return rows.withColumn("f", classify.classify_field(F.col("said_type"))).select("doc_id", "json_data", "said_type", F.col("f.document_type").alias("document_type"), F.col("f.confidence").alias("confidence"))
+
+
+def cross_validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level fields of answers about orders, checked against the orders' texts."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey", "concat('Invoice Date: 0', cast(o_orderkey % 9 + 1 as string), '/1', cast(o_orderkey % 3 as string), '/2004 No ', cast(o_orderkey as string)) as text",
+        "concat('{\"invoice_date\": null, \"due_date\": \"1', cast(o_orderkey % 3 as string), '/0', cast(o_orderkey % 9 + 1 as string), '/2004\", \"ref\": \"XXXX-', cast(o_orderkey as string), '\"}') as data",
+    )
+    checked = rows.select("o_orderkey", F.from_json(jsonx.cross_check_column(F.col("data"), F.col("text")), "invoice_date string, due_date string, ref string").alias("j"))
+    return checked.select("o_orderkey", "j.invoice_date", "j.due_date", "j.ref")
+
+
+def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.corpus(spark, "files").where(files.supported(F.col("text"))).select("doc_id", F.col("text").alias("path"), files.file_name(F.col("text")).alias("file_name"))
+
+
+def queries() -> dict[str, Query]:
+    plain = (clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, type_report, type_counts, status_counts, line_similarity, pick_best_line, consensus_merge, full_pipeline, parse_json_response, cross_validate_json, file_filter)
+    return {f.__name__: f for f in plain} | {
+        "remove_repetitions": _over_documents(lines.drop_runs),
+        "remove_near_duplicates": _over_documents(lines.drop_near_duplicates),
+        "prefix_loops": _over_documents(lines.drop_prefix_loops),
+        "repetition_corpus": _over_corpus("runs", runs=lines.drop_runs, near=lines.drop_near_duplicates, loops=lines.drop_prefix_loops),
+        "clean_text": _over_documents(clean.clean),
+        "strip_scripts": _over_corpus("scripts", clean=clean.drop_foreign_scripts),
+        "strip_hallucinations": _over_corpus("talk", clean=clean.drop_model_talk),
+        "number_formats": _over_corpus("numbers", artifacts=correct.fix_artifacts, numbers=clean.fix_numbers),
+        "arabic_corrections": _over_corpus("arabic", fixed=correct.correct_arabic),
+        "english_corrections": _over_corpus("english", fixed=correct.correct_english),
+        "field_digits": _over_corpus("detached", digits=correct.convert_field_digits),
+        "arabic_patterns": _over_corpus("detached", patterns=correct.fix_arabic_patterns, doubled=correct.fix_doubled_letters, punctuation=clean.normalize_arabic),
+        "swift_fix": _over_corpus("swift", fixed=correct.fix_swift),
+        "normalize_variants": _over_corpus("normal", plain=T.normal_form, matching=lambda c: T.normal_form(c, hamza=True), classes=lambda c: T.normal_form(c, hamza=True, tatweel=True), output=clean.normalize_arabic),
+        "date_swap": _over_corpus("dates", swapped=jsonx.swap_date),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return O.queries()
