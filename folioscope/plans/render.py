@@ -47,11 +47,12 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("orders", "customer", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"folioscope_{t}")
     listed = lambda x: f"array_join(transform(array_sort(collect_list(struct(l_linenumber, {x} as v))), r -> r.v), chr(10))".replace("{s}", "string")
+    # texts are short and the work on each is long, so they keep all partitions instead of being coalesced by size
     return spark.sql(
         f"with l as (select l_orderkey, {listed(_LINE)} as line_list, {listed(_DAY)} as date_list from folioscope_lineitem group by l_orderkey)"
         f" select o_orderkey as doc_id, concat('f', cast(o_orderkey as string), '.pdf') as file_name, {_case('string')} as text"
         " from folioscope_orders join folioscope_customer on o_custkey = c_custkey left join l on l_orderkey = o_orderkey"
-    )
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def rendered_sql() -> str:

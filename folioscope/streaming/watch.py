@@ -11,7 +11,7 @@ from folioscope.operators import clean, classify, grade
 
 def read_texts(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -> DataFrame:
     """(file_name, text) of text files as they arrive."""
-    rows = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_a_trigger).text(folder)
+    rows = spark.readStream.option("maxFilesPerTrigger", files_a_trigger).text(folder, wholetext=True)
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("file_name"), F.col("value").alias("text"))
 
 
