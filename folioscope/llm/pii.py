@@ -271,16 +271,18 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", day_first: bool = True, counts: bool = True) -> DataFrame:
-    """docs with text_col pseudonymized, and with counts of replaced values n_<kind> (long) if asked for."""
+    """docs with text_col pseudonymized, and with counts of replaced values n_<kind> (long) if asked for, in place of columns of that name."""
     pattern = F.lit(_combined())
     text = F.col(text_col).cast("string")
     hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: _replaced(m, key, day_first))
     held = F.when(text.rlike("[0-9@]"), hits)
-    rows = docs.withColumn("_pii", held)
+    names = [c for c in docs.columns if not counts or c not in {f"n_{k}" for k in KINDS}]
+    rows = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), text.alias("_text"), held.alias("_pii"))
+    text, own = F.col("_text"), F.col("row")
     gaps = F.split(text, _combined(), -1)
     joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("_pii.out").alias("hit")), lambda x: F.array(x["gap"], F.coalesce(x["hit"], F.lit(""))))), "")
     changed = F.exists("_pii", lambda x: x["kind"].isNotNull())
-    columns = [F.when(changed, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [F.when(changed, joined).otherwise(text).alias(c) if c == text_col else own[c].alias(c) for c in names]
     if counts:
         columns += [F.coalesce(F.size(F.filter(F.col("_pii.kind"), _is(k))), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(*columns)

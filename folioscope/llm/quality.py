@@ -181,18 +181,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (id_col), `_score` and the statistics, prefixed by _s_."""
-    keep = keep or [id_col]
-    rows = docs.select(*keep, *(c.alias(f"_s_{k}") for k, c in statistics(F.col(text_col)).items()))
+    """(row: struct of the columns `keep` of docs, or id_col, _s_<statistic>..., _score)."""
+    row = F.struct(*(F.col(c) for c in keep or [id_col])).alias("row")
+    rows = docs.select(row, *(c.alias(f"_s_{k}") for k, c in statistics(F.col(text_col)).items()))
     return rows.withColumn("_score", model.column("_s_"))
 
 
 def predict(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     found = score(docs, train(docs, labels, sample))
-    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    doc = F.col("row.doc_id")
+    return found.select(doc.alias("doc_id"), F.coalesce(held_out(doc), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs whose score is at least 0.5."""
-    return score(docs, train(docs, labels, sample), keep=docs.columns).where("_score >= 0.5").select(*docs.columns)
+    return score(docs, train(docs, labels, sample), keep=docs.columns).where("_score >= 0.5").select("row.*")

@@ -150,11 +150,11 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (id_col) of docs and `spans`, sorted: array of (start, order, end, kind)."""
+    """(row: struct of the columns `keep` of docs, or id_col, _text, spans: sorted array of (start, order, end, kind))."""
     keep = keep or [id_col]
     found = candidates(docs, rules, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("_id"), text.alias("_text"))
+    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(id_col).alias("_id"), text.alias("_text"))
     if found is not None:
         rows = rows.join(found.select(F.col("doc_id").alias("_doc"), F.col("rules").alias("_rules")), F.col("_id").eqNullSafe(F.col("_doc")), "left")
     empty = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     for order, rule in enumerate(rules):
         spans = rule_spans(F.col("_text"), rule, order)
         parts.append(spans if trigram_query(rule.pattern) is None else F.when(F.array_contains("_rules", rule.kind), spans).otherwise(empty))
-    return rows.select(*keep, "_text", F.array_sort(F.concat(*parts)).alias("spans"))
+    return rows.select("row", "_text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -174,7 +174,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     found = scan(docs, rules, id_col, text_col)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
-    return found.select(F.col(id_col).alias("doc_id"), *(count(r.kind) for r in BASE), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("row")[id_col].alias("doc_id"), *(count(r.kind) for r in BASE), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK) -> DataFrame:
@@ -189,7 +189,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.select(*(F.when(F.col(c).isNotNull(), F.when(F.size("spans") > 0, clean).otherwise(text)).alias(c) if c == text_col else F.col(c) for c in names))
+    own = F.col("row")
+    return found.select(*(F.when(own[c].isNotNull(), F.when(F.size("spans") > 0, clean).otherwise(text)).alias(c) if c == text_col else own[c].alias(c) for c in names))
 
 
 def oracle() -> str:
