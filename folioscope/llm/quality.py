@@ -69,10 +69,10 @@ class Rule:
             out &= x[:, j] <= t if low else x[:, j] > t
         return out
 
-    def column(self, prefix: str) -> Column:
+    def column(self, stats: Column) -> Column:
         out = F.lit(True)
         for j, low, t in self.tests:
-            c = F.col(prefix + NAMES[j])
+            c = stats[NAMES[j]]
             out = out & (c <= t if low else c > t)
         return out
 
@@ -88,11 +88,16 @@ class Model:
             z += weight * rule.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self, prefix: str = "") -> Column:
-        z = F.lit(float(self.bias))
-        for rule, weight in self.rules:
-            z = z + F.when(rule.column(prefix), float(weight)).otherwise(0.0)
-        return 1 / (1 + F.exp(-z))
+    def column(self, text: Column) -> Column:
+        """Score of a text. The statistics are bound once, so a filter on the score doesn't compute them for each rule again."""
+
+        def compiled(stats: Column) -> Column:
+            z = F.lit(float(self.bias))
+            for rule, weight in self.rules:
+                z = z + F.when(rule.column(stats), float(weight)).otherwise(0.0)
+            return 1 / (1 + F.exp(-z))
+
+        return F.element_at(F.transform(F.array(F.struct(*(c.alias(k) for k, c in statistics(text).items()))), compiled), 1)
 
 
 def _split(x: np.ndarray, codes: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float] | None:
@@ -180,20 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(x, got["_y"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(row: struct of the columns `keep` of docs, or id_col, _s_<statistic>..., _score)."""
-    row = F.struct(*(F.col(c) for c in keep or [id_col])).alias("row")
-    rows = docs.select(row, *(c.alias(f"_s_{k}") for k, c in statistics(F.col(text_col)).items()))
-    return rows.withColumn("_score", model.column("_s_"))
-
-
 def predict(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    found = score(docs, train(docs, labels, sample))
-    doc = F.col("row.doc_id")
-    return found.select(doc.alias("doc_id"), F.coalesce(held_out(doc), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    model = train(docs, labels, sample)
+    found = docs.select("doc_id", model.column(F.col("text")).alias("score"))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs whose score is at least 0.5."""
-    return score(docs, train(docs, labels, sample), keep=docs.columns).where("_score >= 0.5").select("row.*")
+    return docs.where(train(docs, labels, sample).column(F.col("text")) >= 0.5)

@@ -180,8 +180,8 @@ def test_quality_held_out(spark):
     assert (got.predicted == got.quality).mean() > 0.95
     # compiled rules and the model give one score
     model = quality.train(docs, labels)
-    few = quality.score(docs.limit(50), model).drop("row").toPandas()
-    assert np.allclose(few["_score"], model.score(few[[f"_s_{n}" for n in quality.NAMES]].to_numpy()))
+    few = docs.limit(50).select(model.column(F.col("text")).alias("score"), *(c.alias(k) for k, c in quality.statistics(F.col("text")).items())).toPandas()
+    assert np.allclose(few["score"], model.score(few[list(quality.NAMES)].to_numpy()))
 
 
 def test_quality_edges(spark):
