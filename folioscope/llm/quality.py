@@ -28,30 +28,35 @@ STEPS = 400
 QUANTILES = 48
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text (null: empty), all finite doubles."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
-    words = count(WORD)
-    w = F.greatest(words, F.lit(1.0))
-    lines = count("\n") + 1
-    split = F.split(t, r"[\x20\x09-\x0D]+")
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where expressions are pushed through projections."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _counts(t: Column) -> dict[str, Column]:
+    """What passes over the text, each once."""
+    count = lambda p: F.regexp_count(t, F.lit(p))
     return {
-        "log_chars": F.log1p(F.length(t).cast("double")),
-        "log_words": F.log1p(words),
-        "word_length": (n - count(r"[\x20\x09-\x0D]")) / w,
-        "upper": count(r"\p{Lu}") / n,
-        "digits": count("[0-9]") / n,
-        "symbols": count(r"[#$%&*@^~|<>{}\[\]_=+\\]") / n,
-        "pipes": count(r"\|") / w,
-        "shouts": count("[!?]") / w,
-        "stops": count("[.,;:]") / w,
-        "short_words": count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])") / w,
-        "words_in_line": words / lines,
-        "distinct_words": F.log1p(F.size(F.array_distinct(split)).cast("double")) / F.log1p(F.size(split).cast("double")),  # hardly depends on length
-        "distinct_lines": F.size(F.array_distinct(F.split(t, "\n"))).cast("double") / lines,
-    }
+        "chars": F.length(t), "words": count(WORD), "blanks": count(r"[\x20\x09-\x0D]"), "lines": count("\n") + 1, "upper": count(r"\p{Lu}"), "digits": count("[0-9]"),
+        "symbols": count(r"[#$%&*@^~|<>{}\[\]_=+\\]"), "pipes": count(r"\|"), "shouts": count("[!?]"), "stops": count("[.,;:]"),
+        "short": count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])"),
+        "distinct": F.size(F.array_distinct(F.split(t, r"[\x20\x09-\x0D]+"))), "distinct_lines": F.size(F.array_distinct(F.split(t, "\n"))),
+    }
+
+
+def statistics(text: Column) -> Column:
+    """Struct of the statistics NAMES of a text (null: empty), all finite doubles."""
+
+    def of(c: Column) -> Column:
+        n, w, lines = F.greatest(c["chars"], F.lit(1)).cast("double"), F.greatest(c["words"], F.lit(1)).cast("double"), c["lines"]
+        values = (
+            F.log1p(c["chars"].cast("double")), F.log1p(c["words"].cast("double")), (n - c["blanks"]) / w, c["upper"] / n, c["digits"] / n, c["symbols"] / n, c["pipes"] / w, c["shouts"] / w, c["stops"] / w, c["short"] / w, c["words"] / lines,
+            F.log1p(c["distinct"].cast("double")) / F.log1p(w + 1),  # hardly depends on length
+            c["distinct_lines"] / lines,
+        )
+        return F.struct(*(v.cast("double").alias(k) for k, v in zip(NAMES, values, strict=True)))
+
+    return _let(F.struct(*(v.alias(k) for k, v in _counts(F.coalesce(text.cast("string"), F.lit(""))).items())), of)
 
 
 NAMES = ("log_chars", "log_words", "word_length", "upper", "digits", "symbols", "pipes", "shouts", "stops", "short_words", "words_in_line", "distinct_words", "distinct_lines")
@@ -97,7 +102,7 @@ class Model:
                 z = z + F.when(rule.column(stats), float(weight)).otherwise(0.0)
             return 1 / (1 + F.exp(-z))
 
-        return F.element_at(F.transform(F.array(F.struct(*(c.alias(k) for k, c in statistics(text).items()))), compiled), 1)
+        return _let(statistics(text), compiled)
 
 
 def _split(x: np.ndarray, codes: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float] | None:
@@ -180,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("double").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` small rows, so they may be broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("_y", "_id", *(c.alias(k) for k, c in statistics(F.col("_text")).items())).toArrow().sort_by([("_id", "ascending"), ("log_chars", "ascending")])
+    got = rows.select("_y", "_id", statistics(F.col("_text")).alias("s")).select("_y", "_id", "s.*").toArrow().sort_by([("_id", "ascending"), ("log_chars", "ascending")])
     x = np.stack([got[k].to_numpy() for k in NAMES], axis=1) if got.num_rows else np.empty((0, len(NAMES)))
     return fit(x, got["_y"].to_numpy())
 
