@@ -135,7 +135,13 @@ def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = render.passes(docs).withColumn("file_name", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf"))).drop("doc_id")
     answers = docs.select("file_name", F.concat(F.lit('{"document_type": "'), F.element_at(F.split("text", "\n"), 1), F.lit('", "invoice_date": null}')).alias("raw"))
     out = pipeline.run(docs, pipeline.TableBackend(readings, answers))
-    return out.select("file_name", "ocr_text", "json_data", F.col("gate.quality").alias("gate"), F.col("validation.quality").alias("quality"), "classification.document_type", "classification.confidence", "classification.method", "classification.model_said")
+    return out.select("file_name", "clean_ocr_text", "json_data", F.col("gate.quality").alias("gate"), F.col("validation.quality").alias("quality"), "classification.document_type", "classification.confidence", "classification.method", "classification.model_said")
+
+
+def service_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a service would answer for them, from three passes each."""
+    readings = render.passes(_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("file_name"), "pass_idx", "text")
+    return pipeline.extract(readings).withColumn("issues", F.array_join("issues", "; "))
 
 
 def parse_json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +164,7 @@ def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    plain = (clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, type_report, type_counts, status_counts, line_similarity, pick_best_line, consensus_merge, full_pipeline, parse_json_response, cross_validate_json, file_filter)
+    plain = (clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, type_report, type_counts, status_counts, line_similarity, pick_best_line, consensus_merge, full_pipeline, service_extract, parse_json_response, cross_validate_json, file_filter)
     return {f.__name__: f for f in plain} | {
         "remove_repetitions": _over_documents(lines.drop_runs),
         "remove_near_duplicates": _over_documents(lines.drop_near_duplicates),

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,10 +145,20 @@ def test_pipeline_and_sinks(spark, tmp_path, mode):
     files.write_report(files.report(out), str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
     files.write_documents(files.json_form(out), str(tmp_path / "json"))
+    nested = json.loads(files.json_form(out).where("file_name = 'a.pdf'").first().value)
+    assert set(nested) == {"classification", "file_info", "extracted_json", "ocr_text"} and nested["file_info"]["char_count"] == len(nested["ocr_text"])
+    assert nested["extracted_json"] == (None if mode == "ocr_only" else {"document_type": "invoice"})
+    assert len(json.loads(files.single_form(out).where("file_name = 'a.pdf'").first().value)["file_info"]) == 2
     files.write_documents(files.text_form(out), str(tmp_path / "text"))
     assert spark.read.text(str(tmp_path / "json")).count() == 2
 
 
+def test_service(spark):
+    rows = pipeline.extract(spark.createDataFrame([("a.pdf", 0, "As an AI\nText  of a page"), ("b.pdf", 0, None)], "file_name string, pass_idx int, text string"))
+    got = {r.file_name: json.loads(r.value) for r in files.api_form(rows).collect()}
+    assert got["a.pdf"]["ocr_text"] == "Text  of a page" and got["a.pdf"]["raw_ocr_text"].startswith("As") and got["b.pdf"]["issues"] == ["Very short output"]
+
+
 def test_stream_gives_what_the_table_gives(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.txt").write_text("Payment Voucher\nPV No 12\nPayee x")
