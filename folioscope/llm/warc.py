@@ -243,3 +243,15 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id",
     return read_archives(made.repartition(max(1, spark.sparkContext.defaultParallelism)))
 
 
+
+
+def oracle() -> str:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of round_trip() over pages, for DuckDB."""
+    nibble = lambda j: f"(instr('0123456789abcdef', substring(h, {j} + 1, 1)) - 1)"
+    letter = f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({nibble('i * 5 // 4')} * 16 + {nibble('(i * 5 // 4 + 1)')}) >> (3 - i * 5 % 4)) & 31)::int + 1, 1)"
+    other = "page_id is distinct from top"
+    return (
+        "with d as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages), m as (select h, max(page_id) as top from d group by h)"
+        f" select page_id, strlen(t)::bigint as payload_bytes, array_to_string(list_transform(range(32), lambda i: {letter}), '') as payload_digest,"
+        f" case when {other} then 'revisit' else 'response' end as record_type, case when {other} then top end as refers_to from d join m using (h)"
+    )
