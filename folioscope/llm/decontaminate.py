@@ -1,11 +1,13 @@
-"""Operator 10: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Runs of SEED words of the test items are looked up in every whole text. A bitmap of fixed size (its 2**BITMAP
 bits don't grow with anything) lets an Arrow stage drop all other runs; what passes is written with the words around
-it, and joined to the seeds exactly. A seed that the corpus holds more than `rare` times is common: alone it proposes
-nothing, but a pair of passage and item is still aligned if common seeds cover `bulk` of the item's runs, so an
-item copied into a third of all texts is found however often its seeds occur. Proposed pairs are aligned by word
+it, and joined to the seeds exactly. Every seed proposes its pairs of passage and item however often the corpus holds it, so what
+is found in a text doesn't depend on the other texts. A pair is left out only if the item's words that the passage holds at all, each
+counted as a match, can't reach the score; equal pairs of a batch are aligned once. Pairs are aligned by word
 (match 2, mismatch -1, gap -1), in batches; a pair is contaminated if its score reaches `least` of that of a full copy.
+Windows reach as far as an alignment of that score can stretch from a seed. A passage without any run of SEED words in common with an item
+(say, each fourth word replaced) isn't proposed.
 
 Items with fewer words than SEED use runs of that many; items without words match nothing, nor do null or empty texts.
 Repeated rows give one row per doc_id and item_id (the best alignment). All joins are by window, seed or item; none is a cross join.
@@ -25,8 +27,6 @@ from . import common, words
 
 SEED = 4
 BITMAP = 24
-RARE = 1000
-BULK = 0.25
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BATCH_CELLS = 2_000_000
@@ -143,14 +143,28 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, cuts = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def reach_of(longest: int, least: float) -> int:
+    """Words that an alignment of an item of `longest` words can span if it is to reach `least`: gaps may cost what a full copy has over it."""
+    return longest + int(MATCH * longest * (1 - least) / -GAP)
+
+
 def _aligned(pairs: DataFrame, least: float) -> DataFrame:
     """FOUND rows of pairs (doc_id, item_id, seeds, first, item words, passage words) that reach the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, items_, seeds, firsts = (batch.column(i).to_pylist() for i in range(4))
-            held, passages = ([np.array(x, np.int64).view(np.uint64) for x in batch.column(i).to_pylist()] for i in (4, 5))
-            order = sorted(range(len(ids)), key=lambda i: (len(passages[i]), len(held[i])))
+            held, passages = (_lists(batch.column(i)) for i in (4, 5))
+            same: dict[tuple[int, bytes], list[int]] = {}
+            for i, (item, passage) in enumerate(zip(items_, passages, strict=True)):
+                same.setdefault((item, passage.tobytes()), []).append(i)
+            could = [x[0] for x in same.values() if np.isin(held[x[0]], passages[x[0]]).sum() >= least * len(held[x[0]])]
+            order = sorted(could, key=lambda i: (len(passages[i]), len(held[i])))
             rows, a = [], 0
             while a < len(order):
                 b = a + 1
@@ -161,7 +175,8 @@ def _aligned(pairs: DataFrame, least: float) -> DataFrame:
                 good = [(i, int(s), int(e)) for i, s, e in zip(these, score, end, strict=True) if s >= least * MATCH * len(held[i])]
                 if good:
                     _, back = align([held[i][::-1] for i, _, _ in good], [passages[i][:e][::-1] for i, _, e in good])
-                    rows += [(ids[i], items_[i], s, s / (MATCH * len(held[i])), seeds[i], firsts[i] + e - int(z), firsts[i] + e) for (i, s, e), z in zip(good, back, strict=True)]
+                    for (i, s, e), z in zip(good, back, strict=True):
+                        rows += [(ids[k], items_[i], s, s / (MATCH * len(held[i])), seeds[k], firsts[k] + e - int(z), firsts[k] + e) for k in same[items_[i], passages[i].tobytes()]]
                 a = b
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             names = [x.split()[0] for x in FOUND.split(", ")]
@@ -170,20 +185,16 @@ def _aligned(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("doc_id", "item_id", "seeds", "first", "item_words", "words").mapInArrow(run, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rare: int = RARE, bulk: float = BULK, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FOUND rows: each doc_id and item_id whose best alignment reaches `least`."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, rare: int | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """FOUND rows: each doc_id and item_id whose best alignment reaches `least`. `rare` is taken for older callers and changes nothing."""
     items = common.materialize(items_table(benchmark), "items")
     about = items.agg(F.collect_set("order"), F.max(F.size("words"))).first()
     orders, longest = sorted(about[0] or [SEED]), about[1] or 0
     seeds = common.materialize(seeds_table(items), "seeds")
-    found = common.materialize(windows(docs, bitmap(seeds), orders, longest + longest // 2, id_col, text_col), "windows")
+    found = common.materialize(windows(docs, bitmap(seeds), orders, reach_of(longest, least), id_col, text_col), "windows")
     hits = found.select("window", F.inline("hits"))
-    often = hits.groupBy("gram").agg(F.count("*").alias("times"))
-    known = seeds.select("gram", "item_id", F.col("at").alias("item_at")).join(often, "gram")
-    matched = hits.join(known, "gram")
-    pairs = matched.groupBy("window", "item_id").agg(F.count_if(F.col("times") <= rare).alias("rare_seeds"), F.count("*").alias("seeds"))
-    sized = items.select("item_id", F.col("words").alias("item_words"), (F.size("words") - F.col("order") + 1).alias("runs"))
-    chosen = pairs.join(sized, "item_id").where((F.col("rare_seeds") > 0) | (F.col("seeds") >= F.ceil(F.col("runs") * bulk)))
+    pairs = hits.join(seeds.select("gram", "item_id"), "gram").groupBy("window", "item_id").agg(F.count("*").alias("seeds"))
+    chosen = pairs.join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
     ready = chosen.join(found.select("window", "doc_id", "first", "words"), "window")
     return _aligned(ready, least).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "similarity", "seeds", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("best")).select("doc_id", "item_id", "best.*")
 

@@ -475,6 +475,19 @@ def test_contamination(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0 and decontaminate.contaminated(table, bench.limit(0)).count() == 0
 
 
+def test_contamination_by_common_seeds(spark):
+    rng = random.Random(4)
+    item = [f"v{rng.randrange(10**6)}" for _ in range(40)]
+    edited = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(item)]  # 8 of 37 runs are left
+    filled = [x for k, w in enumerate(item) for x in ((w,) if k > 35 else (w, f"y{k}"))]  # one run at the end; the rest reaches back 72 words
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    few = {0: edited, 1: filled, 2: item[:19] + [f"z{k}" for k in range(200)]}
+    many = few | {i: [f"u{i}"] + edited for i in range(10, 1110)} | {i: item[-4:] for i in range(2000, 3010)}
+    for docs in (few, many):
+        got = {r.doc_id: r.score for r in decontaminate.contaminated(frame(spark, [(i, " ".join(w)) for i, w in docs.items()]), bench).collect()}
+        assert got == {i: brute_align(item, w) for i, w in docs.items() if brute_align(item, w) >= 40} and {0, 1} <= set(got) and 2 not in got
+
+
 # all
 
 
