@@ -38,6 +38,7 @@ PACKED = PIECES + ", sequence_id long, offset long, unit long, gap long, full bo
 #: Encoders and ids of chunks that a worker process has made, by tokenizer file.
 _encoders: dict[str, Callable[[str], list[int]]] = {}
 _known: dict[str, dict[str, bytes]] = {}
+_added: dict[str, tuple[list[bytes], Callable[[str], list[int]]]] = {}
 #: Bytes that may begin or end white space other than a space or a line feed: control characters, and parts of U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000.
 _RARE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3])
 _BLANK = np.isin(np.arange(256), [10, 32])
@@ -81,6 +82,20 @@ def encoder(tokenizer_path: str) -> Callable[[str], list[int]]:
     return _encoders[tokenizer_path]
 
 
+def added_tokens(tokenizer_path: str) -> tuple[list[bytes], Callable[[str], list[int]]]:
+    """(strings of the file's added tokens, text to ids as the file has it, each such string being one id)."""
+    if tokenizer_path not in _added:
+        import json
+
+        from tokenizers import Tokenizer
+
+        with open(tokenizer_path, encoding="utf-8") as f:
+            strings = [x["content"].encode() for x in json.load(f).get("added_tokens", [])]
+        own = Tokenizer.from_file(tokenizer_path)
+        _added[tokenizer_path] = strings, lambda text: own.encode(text, add_special_tokens=False).ids
+    return _added[tokenizer_path]
+
+
 class _Chunks(dict):
     """Ids of chunks as bytes, made when first asked for."""
 
@@ -92,13 +107,15 @@ class _Chunks(dict):
         return ids
 
 
-def ids_of(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
+def ids_of(tokenizer_path: str, specials: bool = False) -> Callable[[list[bytes]], list[bytes]]:
     """UTF-8 texts to ids as little-endian unsigned 32-bit bytes.
 
     Byte-level pre-tokens never reach over the place before a lone space, so a text without adjacent white space
-    is the concatenation of its space-led chunks; each distinct chunk is encoded once. Other texts are encoded whole.
+    is the concatenation of its space-led chunks; each distinct chunk is encoded once. Other texts are encoded whole. With `specials`, texts
+    that hold an added token's string go through `tokenizers` as the file has it; without, the string is ordinary text.
     """
     encode = encoder(tokenizer_path)
+    strings, by_file = added_tokens(tokenizer_path) if specials else ([], encode)
     known = _known.setdefault(tokenizer_path, _Chunks(encode))
 
     def as_bytes(text: str) -> bytes:
@@ -115,6 +132,9 @@ def ids_of(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
         out = []
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8", "replace")
+            if any(x in raw for x in strings):
+                out.append(np.array(by_file(text), "<u4").tobytes())
+                continue
             if i in whole or not text:
                 out.append(as_bytes(text))
                 continue
@@ -126,12 +146,12 @@ def ids_of(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """A row for each piece, with a number (uid) of its own; to be written before it is used twice."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = ids_of(tokenizer_path), TaskContext.get().partitionId() << 36
+        encode, uid = ids_of(tokenizer_path, specials), TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in common.slices(batch, 1, common.SLICE_BYTES // 2):
                 out: list[list] = [[] for _ in range(6)]
@@ -253,6 +273,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """PACKED rows of all documents."""
-    return pack(common.materialize(pieces(docs, tokenizer_path, capacity, 0, id_col, text_col), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
+    """PACKED rows of all documents; with `specials`, ids are those of the unmodified tokenizer file."""
+    return pack(common.materialize(pieces(docs, tokenizer_path, capacity, 0, id_col, text_col, specials), "pieces"), capacity)

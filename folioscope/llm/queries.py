@@ -28,7 +28,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "unit", "gap")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), specials=True).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "unit", "gap")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,21 @@ def test_packing_against_tokenizers(spark):
     assert packing.pack_documents(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    own = Tokenizer.from_file(TOKENIZER)
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "plain words", " é<|endoftext|>日本"]))
+    frame(spark, list(texts.items()), extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = common.table(spark, str(tmp_path), "documents")
+    for out in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in out.collect()}
+        ids = {i: own.encode(t, add_special_tokens=False).ids + [0] for i, t in texts.items()}
+        assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+
+
 def brute_bins(sizes, c):
     best = [len(sizes)]
 
