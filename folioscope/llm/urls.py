@@ -29,7 +29,7 @@ ORDER, SLOTS, PRIOR = 5, 16, 2.0
 MOST_RULES = 500
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of hosts that are rejected whatever the rules have seen; they count SEED_WEIGHT times.
-SEEDS = ("casino", "poker", "bets", "free-bets", "slots", "jackpot", "pills", "cheap-pills", "pharma", "viagra", "loans", "payday", "spam", "spam-farm", "ads", "ads-track", "tracker", "clickbait", "win", "casino-win", "free-money", "replica", "adult", "xxx")
+SEEDS = ("casino", "poker", "bets", "slots", "jackpot", "pills", "pharma", "viagra", "loans", "payday", "spam", "ads", "tracker", "clickbait", "free-money", "replica", "xxx")
 SEED_WEIGHT = 50
 
 

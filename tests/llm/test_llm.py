@@ -359,6 +359,11 @@ def test_url_models(spark):
     assert (got[1000], got[1001], got[1002]) == ("block", "block", "allow")
 
 
+def test_url_seeds_are_general():
+    hosts = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x", "adult")  # of the test tables
+    assert not set(urls.SEEDS) & set(hosts)
+
+
 # 8
 
 
