@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,12 +24,15 @@ _folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder takes its place.
+    Only where that setting is absent and the master is local (tests, a single machine) a temporary folder takes its place; a
+    cluster's executors wouldn't see it, so there the setting is asked for (ValueError).
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
             base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
             spark.sparkContext.setCheckpointDir(base)
         _folders[app] = f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"

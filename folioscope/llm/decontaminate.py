@@ -1,16 +1,22 @@
-"""Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
-
-Runs of SEED words of the test items are looked up in every whole text. A bitmap of fixed size (its 2**BITMAP
-bits don't grow with anything) lets an Arrow stage drop all other runs; what passes is written with the words around
-it, and joined to the seeds exactly. Every seed proposes its pairs of passage and item however often the corpus holds it, so what
-is found in a text doesn't depend on the other texts. A pair is left out only if the item's words that the passage holds at all, each
-counted as a match, can't reach the score; equal pairs of a batch are aligned once. Pairs are aligned by word
-(match 2, mismatch -1, gap -1), in batches; a pair is contaminated if its score reaches `least` of that of a full copy.
-Windows reach as far as an alignment of that score can stretch from a seed. A passage without any run of SEED words in common with an item
-(say, each fourth word replaced) isn't proposed.
-
-Items with fewer words than SEED use runs of that many; items without words match nothing, nor do null or empty texts.
-Repeated rows give one row per doc_id and item_id (the best alignment). All joins are by window, seed or item; none is a cross join.
+"""Operator 10: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+
+Passages are aligned with test items by word (match 2, mismatch -1, gap -1). A pair is contaminated if its local score reaches
+`least` of that of a full copy; items of under SHORT words must occur whole, and items of one or two words must be the
+whole text, as such words by themselves show nothing. Items without words match nothing, nor do null or empty texts.
+
+Seeds are pairs of words: neighbours, or with one word between. They follow from the score: an alignment of m matches that reaches S
+spends at most 2m - S on what lies between its matches, so, counting 2 for each two matches in a row without a word
+between and 1 for each two with one word between on either side or both, it has at least S - 2 points. A place of the item gives at most 2,
+so an alignment that reaches S also touches one of any places that are more than (S - 3) / 2 fewer than all: the item's rarest ones, by
+counts over the whole corpus, are enough to propose every pair. How common a seed is only decides which places propose, never what is found.
+
+Passages around a seed are as wide as an alignment that reaches S can stretch (BLOCKS of that width with their neighbours, so wide texts
+make many passages of fixed width). Before alignment their points are counted exactly; those under S - 2 can't reach S.
+Equal passages of a batch are aligned once.
+
+Items are held in blocks of at most `block_words` words (or one longer item); each block is broadcast and joined to the seeds of all texts
+where the texts are, so texts are never shuffled and no seed or item makes a hot key. Counts of seeds are
+summed per task and then by Spark. Repeated rows give one row per doc_id and item_id (the best alignment).
 """
 
 from __future__ import annotations
@@ -19,22 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
 
-SEED = 4
-BITMAP = 24
-LEAST = 0.5
+LEAST, LEAST_OF_ALL = 0.5, 0.25
+SHORT = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-BATCH_CELLS = 2_000_000
+BLOCK_WORDS = 1 << 20
+BITMAP = 22
+#: Cells that one NumPy step of an alignment holds, and hits that one step of counting points holds.
+BATCH_CELLS, BATCH_HITS = 250_000, 2_000_000
 FOUND = "doc_id long, item_id long, score long, similarity double, seeds long, start_word long, end_word long"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
 def items_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, words: array of hashes, order: words in a seed)."""
+    """(item_id, words: array of hashes) of the items that have words."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -42,79 +51,162 @@ def items_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text
             h, owner, _, _ = words.word_hashes(texts)
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
             rows = [h[a:b].view(np.int64).tolist() for a, b in zip(cut, cut[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array([min(SEED, len(r)) for r in rows], pa.int32())], ["item_id", "words", "order"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["item_id", "words"])
 
         return step
 
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return common.map_slices(rows, "item_id long, words array<long>, order int", make).where("order > 0")
-
-
-def seeds_table(items: DataFrame) -> DataFrame:
-    """(gram, item_id, at) of items_table rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for item, hashes, order in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = np.array(hashes, np.int64).view(np.uint64)
-                g, at = words.grams(h, np.zeros(len(h), np.int8), order)
-                out[0] += g.view(np.int64).tolist()
-                out[1] += [item] * len(g)
-                out[2] += at.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["gram", "item_id", "at"])
-
-    return items.select("item_id", "words", "order").mapInArrow(run, "gram long, item_id long, at int")
-
-
-def bitmap(seeds: DataFrame, bits: int = BITMAP) -> np.ndarray:
-    """2**bits bits, one set for each seed; gathered as at most 2**(bits - 6) words whatever the number of seeds."""
-    slot = F.shiftrightunsigned("gram", 64 - bits)
-    parts = seeds.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[parts["word"].to_numpy()] = parts["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def windows(docs: DataFrame, bits_set: np.ndarray, orders: list[int], reach: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(window, doc_id, first, words, hits: array of (gram, at)): all runs whose bit is set, with the words around them.
-
-    Runs nearer than `reach` words share a window. To be written before use, as windows are numbered by task.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits_set))
-    shift = np.uint64(64 - (len(bits_set).bit_length() - 1))
-    hit_type = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = np.unpackbits(held.value).astype(bool), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for part in common.slices(batch, 1, common.SLICE_BYTES // 2):
-                ids, texts = part.column(0).to_pylist(), words.lowered(common.texts_of(part.column(1)))
-                h, owner, _, _ = words.word_hashes(texts)
-                found = []
-                for n in orders:
-                    g, at = words.grams(h, owner, n)
-                    keep = known[g >> shift]
-                    found.append((g[keep], at[keep]))
-                g, at = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(at, kind="stable")
-                g, at = g[order].view(np.int64), at[order]
-                out: list[list] = [[] for _ in range(5)]
-                if len(at):
-                    new = np.nonzero((np.diff(at) > reach) | (np.diff(owner[at]) != 0))[0] + 1
-                    edges = np.concatenate([[0], new, [len(at)]])
-                    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
-                    for a, b in zip(edges, edges[1:], strict=False):
-                        text = owner[at[a]]
-                        first, last = max(starts[text], at[a] - reach), min(starts[text + 1], at[b - 1] + reach + SEED)
-                        hits = [{"gram": int(x), "at": int(y)} for x, y in zip(g[a:b], at[a:b] - first, strict=True)]
-                        for column, x in zip(out, (number, ids[text], int(first - starts[text]), h[first:last].view(np.int64), hits), strict=True):
-                            column.append(x)
-                        number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), hit_type), strict=True)], ["window", "doc_id", "first", "words", "hits"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "window long, doc_id long, first int, words array<long>, hits array<struct<gram: long, at: int>>")
+    return common.map_slices(rows, "item_id long, words array<long>", make).where(F.size("words") > 0)
+
+
+def needed(n: int, least: float) -> int:
+    """The score that an item of n words has to reach."""
+    return MATCH * n if n < SHORT else int(np.ceil(least * MATCH * n - 1e-9))
+
+
+def _expand(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of every place in the ranges [first, first + size)."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+class Index:
+    """Seeds of one block of items."""
+
+    def __init__(self, ids: list, texts: list[np.ndarray], least: float):
+        whole = [i for i, t in enumerate(texts) if len(t) > 2]
+        #: items of one or two words, by these
+        self.tiny: dict[tuple, list] = {}
+        for i, t in zip(ids, texts, strict=True):
+            if len(t) <= 2:
+                self.tiny.setdefault(tuple(t.tolist()), []).append(i)
+        self.ids, self.texts = [ids[i] for i in whole], [texts[i] for i in whole]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.need = np.array([needed(len(t), least) for t in self.texts], np.int64)
+        self.reach = 3 * self.size - self.need
+        h = np.concatenate(self.texts or [np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(self.texts)), self.size)
+        self.first = np.cumsum(self.size) - self.size
+        near, at1 = words.pairs(h, owner, 1)
+        wide, at2 = words.pairs(h, owner, 2)
+        self.seeds, slot = np.unique(np.concatenate([near, wide]), return_inverse=True)
+        at, self_near = np.concatenate([at1, at2]), np.concatenate([np.ones(len(at1), bool), np.zeros(len(at2), bool)])
+        self.shift = np.uint64(64 - BITMAP)
+        self.bits = np.zeros(1 << BITMAP, bool)
+        self.bits[self.seeds >> self.shift] = True
+        self.of_place = (slot[: len(at1)], at1, slot[len(at1) :], at2)
+        # seeds of each item, and the places they start at
+        key = owner[at] * max(len(self.seeds), 1) + slot
+        order = np.argsort(key, kind="stable")
+        self.keys, cut = np.unique(key[order], return_index=True)
+        self.cut = np.append(cut, len(order))
+        self.place, self.near = at[order], self_near[order]
+        self.proposes = (np.empty(0, np.int64), np.zeros(len(self.seeds) + 1, np.int64))
+
+    def find(self, h: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(seed, word number) of all seeds of the block in the texts: of neighbours, and with one word between."""
+        out = []
+        for gap in (1, 2):
+            g, at = words.pairs(h, owner, gap)
+            if not len(self.seeds):
+                out.append((np.empty(0, np.int64), np.empty(0, np.int64)))
+                continue
+            keep = np.nonzero(self.bits[g >> self.shift])[0]
+            slot = np.minimum(np.searchsorted(self.seeds, g[keep]), len(self.seeds) - 1)
+            same = self.seeds[slot] == g[keep]
+            out.append((slot[same], at[keep[same]]))
+        return out
+
+    def choose(self, counts: np.ndarray, rare: int | None) -> None:
+        """Let each item's rarest places propose, as many as no alignment can avoid; and all others with at most `rare` hits."""
+        s1, at1, s2, at2 = self.of_place
+        hits = np.zeros(int(self.size.sum()), np.int64)
+        hits[at1] += counts[s1]
+        hits[at2] += counts[s2]
+        takes = np.zeros(len(hits), bool)
+        for f, n, need in zip(self.first.tolist(), self.size.tolist(), self.need.tolist(), strict=True):
+            places = hits[f : f + n - 1]
+            takes[f + np.argsort(places, kind="stable")[: n - 1 - (need - 3) // 2]] = True
+            if rare is not None:
+                takes[f : f + n - 1] |= places <= rare
+        slot, at = np.concatenate([s1, s2]), np.concatenate([at1, at2])
+        on = takes[at]
+        item = np.searchsorted(self.first, at[on], side="right") - 1
+        both = np.unique(slot[on] * max(len(self.size), 1) + item)
+        slot, item = both // max(len(self.size), 1), both % max(len(self.size), 1)
+        self.proposes = item, np.searchsorted(slot, np.arange(len(self.seeds) + 1))
+
+    def passages(self, h: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, first word, end, places of the item with a seed) of the passages whose points allow the score, in parts."""
+        starts = np.searchsorted(owner, np.arange(n + 1))
+        found, (by, cut) = self.find(h, owner), self.proposes
+        slot, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        which, place = _expand(cut[slot], cut[slot + 1] - cut[slot])
+        item, text = by[place], owner[at[which]]
+        block = (at[which] - starts[text]) // self.reach[item]
+        if not len(block):
+            return
+        most = int(block.max()) + 1
+        rows = np.unique((text * len(self.size) + item) * most + block)
+        text, item, block = rows // most // len(self.size), rows // most % len(self.size), rows % most
+        first = np.maximum(starts[text], starts[text] + (block - 1) * self.reach[item])
+        end = np.minimum(starts[text + 1], starts[text] + (block + 2) * self.reach[item] + 2)
+        ranges = [(np.searchsorted(a, first), np.searchsorted(a, end)) for _, a in found]
+        load = np.cumsum(sum(b - a for a, b in ranges) + self.size[item])
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + BATCH_HITS)))
+            it = item[a:b]
+            base = np.cumsum(self.size[it]) - self.size[it]
+            points = np.zeros(int(self.size[it].sum()), np.int8)
+            for (seeds, places), (lo, hi), close in zip(found, ranges, (True, False), strict=True):
+                own, k = _expand(lo[a:b], (hi - lo)[a:b])
+                inside = places[k] + (1 if close else 2) < end[a:b][own]
+                own, k = own[inside], k[inside]
+                key = it[own] * len(self.seeds) + seeds[k]
+                where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                same = self.keys[where] == key
+                own, where = own[same], where[same]
+                of, k = _expand(self.cut[where], self.cut[where + 1] - self.cut[where])
+                own = own[of]
+                at = base[own] + self.place[k] - self.first[it[own]]
+                points[at[points[at] == 0]] = 1
+                if close:
+                    points[at[self.near[k]]] = 2
+            sums = np.add.reduceat(points.astype(np.int64), base)
+            ok = sums >= self.need[it] - 2
+            yield text[a:b][ok], it[ok], first[a:b][ok], end[a:b][ok], np.add.reduceat((points > 0).astype(np.int64), base)[ok]
+            a = b
+
+    def matches(self, texts: list[bytes]) -> list[tuple]:
+        """(text, item_id, score, similarity, seeds, start word, end word) of alignments that reach their score, the best of each passage."""
+        h, owner, _, _ = words.word_hashes(words.lowered(texts))
+        starts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        out = []
+        if self.tiny:
+            for t in np.nonzero((np.diff(starts) > 0) & (np.diff(starts) <= 2))[0].tolist():
+                own = tuple(h[starts[t] : starts[t + 1]].tolist())
+                out += [(t, i, MATCH * len(own), 1.0, len(own), 0, len(own)) for i in self.tiny.get(own, [])]
+        for part in self.passages(h, owner, len(texts)):
+            same: dict[tuple[int, bytes], list[tuple]] = {}
+            for t, i, a, b, seeds in zip(*(x.tolist() for x in part), strict=True):
+                same.setdefault((i, h[a:b].tobytes()), []).append((t, a - int(starts[t]), seeds))
+            order = sorted(same, key=lambda x: (len(x[1]), len(self.texts[x[0]])))
+            passages = [np.frombuffer(p, np.uint64) for _, p in order]
+            a = 0
+            while a < len(order):
+                b = a + 1
+                while b < len(order) and (b + 1 - a) * len(passages[b]) <= BATCH_CELLS:
+                    b += 1
+                score, end = align([self.texts[i] for i, _ in order[a:b]], passages[a:b])
+                good = [(k, int(s), int(e)) for k, s, e in zip(range(a, b), score, end, strict=True) if s >= self.need[order[k][0]]]
+                if good:
+                    _, back = align([self.texts[order[k][0]][::-1] for k, _, _ in good], [passages[k][:e][::-1] for k, _, e in good])
+                    for (k, s, e), z in zip(good, back, strict=True):
+                        i = order[k][0]
+                        out += [(t, self.ids[i], s, s / (MATCH * int(self.size[i])), seeds, at + e - int(z), at + e) for t, at, seeds in same[order[k]]]
+                a = b
+        return out
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,63 +235,88 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    values, cuts = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+def _blocks(items: DataFrame, least: float, block_words: int) -> Iterator[Index]:
+    """Indexes of blocks of items, dealt by hash; of the items only one block is held at a time."""
+    items = common.materialize(items.withColumn("deal", F.xxhash64("item_id", "words")), "items")
+    rows, total = items.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    parts = -(-total // block_words)
+    part = lambda n: F.pmod(F.col("deal"), F.lit(n))
+    while 1 < parts < rows and items.groupBy(part(parts)).agg(F.sum(F.size("words")).alias("n"), F.count("*").alias("m")).where(F.col("n") > block_words).where("m > 1").limit(1).count():
+        parts *= 2
+    for k in range(parts):
+        got = items.where(part(parts) == k).select("item_id", "words").toArrow()
+        if got.num_rows:
+            column = got["words"].combine_chunks()
+            values, cuts = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+            yield Index(got["item_id"].to_pylist(), [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], least)
 
 
-def reach_of(longest: int, least: float) -> int:
-    """Words that an alignment of an item of `longest` words can span if it is to reach `least`: gaps may cost what a full copy has over it."""
-    return longest + int(MATCH * longest * (1 - least) / -GAP)
-
-
-def _aligned(pairs: DataFrame, least: float) -> DataFrame:
-    """FOUND rows of pairs (doc_id, item_id, seeds, first, item words, passage words) that reach the score."""
+def _counted(rows: DataFrame, index: Index) -> np.ndarray:
+    """How often each seed of the block occurs in all texts (text)."""
+    held = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        total = np.zeros(len(own.seeds), np.int64)
         for batch in batches:
-            ids, items_, seeds, firsts = (batch.column(i).to_pylist() for i in range(4))
-            held, passages = (_lists(batch.column(i)) for i in (4, 5))
-            same: dict[tuple[int, bytes], list[int]] = {}
-            for i, (item, passage) in enumerate(zip(items_, passages, strict=True)):
-                same.setdefault((item, passage.tobytes()), []).append(i)
-            could = [x[0] for x in same.values() if np.isin(held[x[0]], passages[x[0]]).sum() >= least * len(held[x[0]])]
-            order = sorted(could, key=lambda i: (len(passages[i]), len(held[i])))
-            rows, a = [], 0
-            while a < len(order):
-                b = a + 1
-                while b < len(order) and (b + 1 - a) * len(passages[order[b]]) <= BATCH_CELLS // 8:
-                    b += 1
-                these = order[a:b]
-                score, end = align([held[i] for i in these], [passages[i] for i in these])
-                good = [(i, int(s), int(e)) for i, s, e in zip(these, score, end, strict=True) if s >= least * MATCH * len(held[i])]
-                if good:
-                    _, back = align([held[i][::-1] for i, _, _ in good], [passages[i][:e][::-1] for i, _, e in good])
-                    for (i, s, e), z in zip(good, back, strict=True):
-                        rows += [(ids[k], items_[i], s, s / (MATCH * len(held[i])), seeds[k], firsts[k] + e - int(z), firsts[k] + e) for k in same[items_[i], passages[i].tobytes()]]
-                a = b
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            names = [x.split()[0] for x in FOUND.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 7, types, strict=True)], names)
-
-    return pairs.select("doc_id", "item_id", "seeds", "first", "item_words", "words").mapInArrow(run, FOUND)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, rare: int | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FOUND rows: each doc_id and item_id whose best alignment reaches `least`. `rare` is taken for older callers and changes nothing."""
-    items = common.materialize(items_table(benchmark), "items")
-    about = items.agg(F.collect_set("order"), F.max(F.size("words"))).first()
-    orders, longest = sorted(about[0] or [SEED]), about[1] or 0
-    seeds = common.materialize(seeds_table(items), "seeds")
-    found = common.materialize(windows(docs, bitmap(seeds), orders, reach_of(longest, least), id_col, text_col), "windows")
-    hits = found.select("window", F.inline("hits"))
-    pairs = hits.join(seeds.select("gram", "item_id"), "gram").groupBy("window", "item_id").agg(F.count("*").alias("seeds"))
-    chosen = pairs.join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
-    ready = chosen.join(found.select("window", "doc_id", "first", "words"), "window")
-    return _aligned(ready, least).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "similarity", "seeds", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("best")).select("doc_id", "item_id", "best.*")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a test item. A null doc_id goes if any null doc_id holds one."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+            for part in common.slices(batch, 0, common.SLICE_BYTES // 2):
+                h, owner, _, _ = words.word_hashes(words.lowered(common.texts_of(part.column(0))))
+                for slot, _ in own.find(h, owner):
+                    total += np.bincount(slot, minlength=len(total))
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["seed", "n"])
+
+    got = rows.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(index.seeds), np.int64)
+    counts[got["seed"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, rare: int | None, least: float, text_col: str, block_words: int) -> Iterator[Index]:
+    if not LEAST_OF_ALL <= least <= 1:
+        raise ValueError(f"least is {least}; seeds are complete from {LEAST_OF_ALL} to 1")
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    for index in _blocks(items_table(benchmark), least, block_words):
+        index.choose(_counted(texts, index), rare)
+        yield index
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rare: int | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """FOUND rows: each doc_id and item_id whose best alignment reaches its score; seeds: places of the item that the passage has a seed of.
+
+    `rare` only lets further seeds propose and changes no row.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    out = None
+    for index in _indexes(docs, benchmark, rare, least, text_col, block_words):
+        held = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in common.slices(batch, 0, common.SLICE_BYTES // 2):
+                    ids = part.column(1).to_pylist()
+                    found = [(ids[t], *rest) for t, *rest in held.value.matches(common.texts_of(part.column(0)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 7, _TYPES, strict=True)], _NAMES)
+
+        found = rows.mapInArrow(run, FOUND)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], FOUND)
+    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "similarity", "seeds", "start_word", "end_word"), F.struct("score", -F.col("start_word"), "seeds")).alias("best")).select("doc_id", "item_id", "best.*")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows whose text holds a test item. Each row is judged by its own text, so rows that share a doc_id don't fall together."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(docs, benchmark, None, least, text_col, block_words):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in common.slices(batch, at, common.SLICE_BYTES // 2):
+                    bad = {t for t, *_ in held.value.matches(common.texts_of(part.column(at)))}
+                    yield part.filter(pa.array([t not in bad for t in range(part.num_rows)])) if bad else part
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -60,3 +60,11 @@ def grams(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
         g += h[k : k + m] * _GRAM[k]
     at = np.nonzero(owner[:m] == owner[n - 1 :])[0]
     return _mixed(g[at]), at
+
+
+def pairs(h: np.ndarray, owner: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the first word) of each two words of one text that are `gap` apart; alike for any gap."""
+    if len(h) <= gap:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = np.nonzero(owner[:-gap] == owner[gap:])[0]
+    return _mixed(h[at] * _GRAM[0] + h[at + gap] * _GRAM[1]), at
