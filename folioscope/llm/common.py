@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one NumPy step of an Arrow stage works on; what a task holds follows this and its longest text.
 SLICE_BYTES = 4 << 20
 
+#: A key is hot if over one in HOT rows has it, so there are fewer than HOT hot keys, whatever the input.
+HOT = 1000
+
 _folders: dict[str, str] = {}
 
 
@@ -64,6 +67,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of rows with `table`, whose keys are unique and whose column `n` says how many of the `total` rows hold them.
+
+    Rows of hot keys meet their (fewer than HOT) table rows by broadcast and aren't shuffled, so no task gets more than one in HOT rows of a key.
+    """
+    hot = F.col(n) > total / HOT
+    few = table.where(hot).drop(n)
+    often = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.where(~hot).drop(n), keys)
+    return often.unionByName(rest)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text bytes of one part stay near `most`; one longer text makes a part of its own."""
     data = batch.column(column)

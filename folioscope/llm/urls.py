@@ -1,36 +1,39 @@
 """Operator 7: URL filters by character language models.
 
-Rules decide what they cover. All other URLs are judged by two smoothed variable-order Markov models over
-characters, one of accepted and one of rejected URLs: contexts of 0 to ORDER characters, each order backing off to
-the shorter one in proportion to how little it has been seen. The score is the log-likelihood of the rejected model less that of the
-accepted model, divided by length; the threshold is calibrated on accepted URLs and seed hosts that the models weren't trained on.
-
-The models learn from the URLs that rules decide (less the part of host and path that the rule itself names, which
-would only teach the rule) and from a few seed words for rejected hosts. Counts cover all decided URLs; they are summed per
-task and then by Spark into hashed tables of 2**SLOTS places an order, so model and broadcast don't grow with the data.
-
-A null url, or one without ://, has empty host and path, matches no rule and is judged on an empty text: score 0, allowed.
-Rows are judged one by one: repeated rows repeat, a null page_id is kept. Rules are expressions, so there may be MOST_RULES.
+Rules decide what they cover. All other URLs are judged by two smoothed variable-order Markov models over characters, one of
+accepted and one of rejected URLs: the probability of a character after its ORDER predecessors backs off to that after one fewer, in
+proportion to how little the longer context has been seen, down to a uniform one. The score is the log-likelihood of the
+rejected model less that of the accepted one, divided by the URL's length.
+
+The models learn from whole URLs that rules decide, and from nothing else. Rows whose page_id's crc32 is divisible by 5 are held out;
+the threshold is the one that tells held-out accepted and rejected URLs apart best (largest difference of their rates above it, the most
+lenient of equals). `calibrate` also gives the held-out rates and the area under the curve. If either class has nothing to learn from or to
+calibrate with, all URLs without a rule are allowed.
+
+Counts are exact: each window of ORDER + 1 characters is counted once for the whole table, and counts of shorter contexts are sums of those. So
+the model is a table that grows with the input, and nothing of it is broadcast or gathered; the windows of URLs are joined to it, those
+that many URLs hold (fewer than `common.HOT` by nature) by a broadcast of just these.
+
+A null or empty url has empty host and path, matches no rule and is allowed, with score 0. A url without :// has empty host and path too
+and is judged by its text. Rows are judged one by one: repeated rows repeat, a null page_id is kept. Rules are expressions, so there may be MOST_RULES.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, SLOTS, PRIOR = 5, 16, 2.0
+ORDER, PRIOR, SYMBOLS = 5, 2.0, 256
 MOST_RULES = 500
+BINS, WIDEST = 800, 4.0
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of hosts that are rejected whatever the rules have seen; they count SEED_WEIGHT times.
-SEEDS = ("casino", "poker", "bets", "slots", "jackpot", "pills", "pharma", "viagra", "loans", "payday", "spam", "ads", "tracker", "clickbait", "free-money", "replica", "xxx")
-SEED_WEIGHT = 50
+#: Stands before a URL's first character.
+EDGE = "\x01"
 
 
 @dataclass(frozen=True)
@@ -57,132 +60,89 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def decided(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, text): the longest rule's name and verdict, null where none fits; text is what the models read."""
+    """(page_id, host, path, rule, verdict, url): the longest rule's name and verdict, null where none fits."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}")
-    host, path = parts(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    bare_host, bare_path = F.regexp_replace("host", r"\.?[^.]*$", ""), F.col("path")
-    text = F.concat_ws("/", bare_host, bare_path)
-    chosen = F.lit(None).cast("struct<rule: string, verdict: string, text: string>")
+    url = F.col(url_col).cast("string")
+    host, path = parts(url)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(url, F.lit("")).alias("url"))
+    chosen = F.lit(None).cast("struct<rule: string, verdict: string>")
     # shorter ones first, so the longest comes to stand outermost
     for r in sorted(rules, key=lambda r: len(r.name)):
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
-        own = F.concat_ws("/", F.expr(f"substring(host, 1, greatest(length(host) - {len(r.host) + 1}, 0))"), F.expr(f"substring(path, {len(r.path) + 1})"))
-        chosen = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"), own.alias("text"))).otherwise(chosen)
-    return rows.select("page_id", "host", "path", chosen.alias("_r"), text.alias("_text")).select("page_id", "host", "path", "_r.rule", "_r.verdict", F.coalesce("_r.text", "_text").alias("text"))
-
-
-def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots of contexts, slots of contexts with their character: ORDER + 1 rows each, start of each text)."""
-    gap = b"\0" * ORDER
-    data = np.frombuffer(gap + gap.join(texts), np.uint8).astype(np.uint64)
-    sizes = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    at = np.concatenate([np.arange(n) for n in sizes] or [[]]).astype(np.int64) + np.repeat(starts + ORDER * (np.arange(len(texts)) + 1), sizes)
-    mix = lambda h, k: ((h + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
-    h, short, long = np.zeros(len(at), np.uint64), [], []
-    for k in range(ORDER + 1):
-        if k:
-            h = (h * np.uint64(0x100000001B3)) ^ (data[at - k] + np.uint64(k))
-        short.append(mix(h * np.uint64(257), k))
-        long.append(mix(h * np.uint64(257) + (data[at] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9), k))
-    return np.stack(short), np.stack(long), starts
-
-
-def _tables(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Counts: (contexts or continuations, order, slot)."""
-    out = np.zeros((2, ORDER + 1, 1 << SLOTS))
-    if texts:
-        each = np.repeat(weights, [len(t) for t in texts])
-        for i, slots in enumerate(_contexts(texts)[:2]):
-            for k in range(ORDER + 1):
-                out[i, k] = np.bincount(slots[k], each, 1 << SLOTS)
-    return out
+        chosen = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(chosen)
+    return rows.select("page_id", "host", "path", chosen.alias("_r"), "url").select("page_id", "host", "path", "_r.rule", "_r.verdict", "url")
 
 
-@dataclass(frozen=True)
-class Model:
-    #: counts by class (accepted, rejected), kind, order, slot
-    counts: np.ndarray
-    threshold: float = 0.0
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Length-normalised log-likelihood of the rejected model less that of the accepted one."""
-        short, long, starts = _contexts(texts)
-        logs = []
-        for c in self.counts:
-            p = np.full(short.shape[1], 1 / 256)
-            for k in range(ORDER + 1):
-                p = (c[1, k, long[k]] + PRIOR * p) / (c[0, k, short[k]] + PRIOR)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        sums = np.concatenate([[0], np.cumsum(logs[1] - logs[0])])
-        sizes = np.array([len(t) for t in texts], np.int64)
-        return (sums[starts + sizes] - sums[starts]) / np.maximum(sizes, 1)
-
-
-def _seed_texts() -> list[bytes]:
-    return [f"{prefix}{a}.example".encode() for a in SEEDS for prefix in ("", "www.", "m.")]
-
-
-def train(rows: DataFrame) -> Model:
-    """Fit on the decided rows of `decided`; those whose page_id's crc32 is divisible by 5 calibrate the threshold."""
-    known = rows.where(F.col("verdict").isNotNull()).select("text", (F.col("verdict") == "block").alias("bad"), (F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(1)) % 5 == 0).alias("held"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, ORDER + 1, 1 << SLOTS))
-        for batch in batches:
-            for part in common.slices(batch, 0, common.SLICE_BYTES // 8):
-                texts, bad = common.texts_of(part.column(0)), part.column(1).to_pylist()
-                for side in (False, True):
-                    these = [t for t, b in zip(texts, bad, strict=True) if b == side]
-                    total[int(side)] += _tables(these, np.ones(len(these)))
-        at = np.nonzero(total.ravel())[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total.ravel()[at])], ["place", "n"])
-
-    got = known.where(~F.col("held")).select("text", "bad").mapInArrow(count, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * 2 * (ORDER + 1) << SLOTS)
-    counts[got["place"].to_numpy()] = got["n"].to_numpy()
-    counts = counts.reshape(2, 2, ORDER + 1, 1 << SLOTS)
-    seeds = _seed_texts()
-    counts[1] += _tables(seeds, np.full(len(seeds), float(SEED_WEIGHT)))
-    model = Model(counts)
-    # the threshold of the largest gap between the rates of held-out accepted URLs and of seed hosts in forms that weren't
-    # trained on, over a histogram of fixed size; what rules block is no measure, as hosts are blocked for their place too
-    edges = np.linspace(-4, 4, 801)
-    binned = score(known.where("held and not bad").select("text"), model, []).select(F.least(F.greatest(F.floor((F.col("score") + 4) * 100), F.lit(0)), F.lit(799)).cast("int").alias("bin")).groupBy("bin").count().collect()
-    hist = np.zeros((2, 800))
-    for b, n in binned:
-        hist[0, b] += n
-    unseen = [f"{prefix}{a}.example{path}".encode() for a in SEEDS for prefix in ("blog.", "shop.") for path in ("/en/17", "/fr/2031.html")]
-    hist[1] = np.histogram(np.clip(model.scores(unseen), -4, 3.99), edges)[0]
-    if not hist[0].sum() or not hist[1].sum():
-        return model
-    above = hist[:, ::-1].cumsum(axis=1)[:, ::-1] / hist.sum(axis=1, keepdims=True)
-    gap = above[1] - above[0]
-    best = int(np.nonzero(gap >= gap.max() - 0.005)[0][-1])  # of equally good thresholds the most lenient
-    return Model(counts, float(edges[best]))
+def windows(url: Column, order: int = ORDER) -> Column:
+    """Array of each character with the `order` ones before it."""
+    return F.regexp_extract_all(F.concat(F.lit(EDGE * order), url), F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1))
+
 
+def held_out(page_id: Column) -> Column:
+    return F.coalesce(F.crc32(page_id.cast("string").cast("binary")), F.lit(1)) % 5 == 0
 
-def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`keep` columns of rows and score: double."""
-    held = rows.sparkSession.sparkContext.broadcast(model.counts.astype(np.float32))
-    names = [*keep, "text"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(held.value)
-        for batch in batches:
-            for part in common.slices(batch, len(keep), common.SLICE_BYTES // 8):
-                found = own.scores(common.texts_of(part.column(len(keep))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found)], [*keep, "score"])
+def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(w, ratio) of window counts (w, accepted, rejected): log-likelihood of its last character by the rejected model less that by the accepted one."""
+    sums = [F.sum(c).alias(c) for c in ("accepted", "rejected")]
+    levels = [counts.select(F.col("w").alias("g"), "accepted", "rejected")]
+    for _ in range(order):
+        levels.append(levels[-1].groupBy(F.expr("substring(g, 2)").alias("g")).agg(*sums))
+    known = None
+    for level in reversed(levels):  # from single characters on
+        context = Window.partitionBy(F.expr("substring(g, 1, length(g) - 1)"))
+        rows = level.select("g", F.expr("substring(g, 2)").alias("short"), *(x.alias(f"{c}_{k}") for c in ("accepted", "rejected") for k, x in (("n", F.col(c)), ("all", F.sum(c).over(context)))))
+        base = lambda c, known=known: F.lit(1 / SYMBOLS) if known is None else F.col(f"p_{c}")
+        if known is not None:
+            rows = rows.join(known.withColumnRenamed("g", "short"), "short")
+        known = rows.select("g", *(((F.col(f"{c}_n") + PRIOR * base(c)) / (F.col(f"{c}_all") + PRIOR)).alias(f"p_{c}") for c in ("accepted", "rejected")))
+    return known.select(F.col("g").alias("w"), F.log(F.col("p_rejected") / F.col("p_accepted")).alias("ratio"))
+
+
+@dataclass(frozen=True)
+class Calibration:
+    threshold: float
+    #: of the held-out URLs that rules block and allow, the shares that score above the threshold
+    caught: float = 0.0
+    lost: float = 0.0
+    auc: float = 0.5
+
+
+def calibrate(scored: DataFrame, trained: bool = True) -> Calibration:
+    """The threshold from held-out rows of `scores`, over a histogram of fixed size."""
+    width = 2 * WIDEST / BINS
+    place = F.least(F.greatest(F.floor((F.col("score") + WIDEST) / width), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    got = scored.where(F.col("held") & F.col("verdict").isNotNull()).groupBy(place.alias("bin"), (F.col("verdict") == "block").alias("bad")).count().collect()
+    hist = np.zeros((2, BINS))
+    for b, bad, n in got:
+        hist[int(bad), b] += n
+    if not trained or not hist.sum(axis=1).all():
+        return Calibration(float("inf"))
+    share = hist / hist.sum(axis=1, keepdims=True)
+    above = share[:, ::-1].cumsum(axis=1)[:, ::-1]
+    gap = above[1] - above[0]
+    best = int(np.nonzero(gap >= gap.max() - 1e-9)[0][-1])
+    auc = float((share[1] * (share[0].cumsum() - share[0] / 2)).sum())
+    return Calibration(best * width - WIDEST, float(above[1, best]), float(above[0, best]), auc)
+
 
-    return rows.select(*names).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "score double"]))
+def scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> tuple[DataFrame, bool]:
+    """((page_id, host, path, rule, verdict, held, has_text, score) of every page, are there URLs of both classes to learn from)."""
+    rows = common.materialize(decided(pages, rules, id_col, url_col).withColumns({"held": held_out(F.col("page_id")), "uid": F.monotonically_increasing_id()}), "urls")
+    learns = lambda verdict: F.col("verdict").eqNullSafe(F.lit(verdict)) & ~F.col("held")
+    places = common.materialize(rows.select("uid", learns("allow").cast("long").alias("accepted"), learns("block").cast("long").alias("rejected"), F.explode(windows(F.col("url"))).alias("w")), "url-windows")
+    counts = common.materialize(places.groupBy("w").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.count("*").alias("n")), "url-counts")
+    total, accepted, rejected = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("accepted"), F.lit(0)), F.coalesce(F.sum("rejected"), F.lit(0))).first()
+    ratios = log_ratios(counts).join(counts.select("w", "n"), "w")
+    found = common.lookup(places.select("uid", "w"), common.materialize(ratios, "url-ratios"), ["w"], total).groupBy("uid").agg(F.avg("ratio").alias("score"))
+    out = rows.withColumn("has_text", F.length("url") > 0).drop("url").join(found, "uid", "left").drop("uid").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return common.materialize(out, "url-scores"), bool(accepted and rejected)
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every page."""
-    rows = decided(pages, rules, id_col, url_col)
-    model = train(rows)
-    found = score(rows, model, ["page_id", "host", "path", "rule", "verdict"])
-    return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("score") > model.threshold, "block").otherwise("allow")).alias("verdict"), "score")
+    found, trained = scores(pages, rules, id_col, url_col)
+    threshold = calibrate(found, trained).threshold
+    own = F.when((F.col("score") > threshold) & F.col("has_text"), "block").otherwise("allow")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
