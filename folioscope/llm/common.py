@@ -115,7 +115,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: long); root is the smallest node it reaches.
 
     Alternating large-star and small-star rounds; each round is written, so lineage stays short. No node's
-    neighbours are ever gathered in one row: minima are pre-aggregated, and the joins can be split by AQE.
+    neighbours are ever gathered in one row: minima are pre-aggregated, and edges of nodes with very many meet them by `lookup`.
     """
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -126,8 +126,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = lookup(both, low, ["u"], 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # every u has its neighbours' minima here, which are as few as its neighbours; a hub's are nearly all one value
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         e = materialize(small.union(low.select("u", "m")).distinct(), "cc")

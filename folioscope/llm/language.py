@@ -5,8 +5,9 @@ bytes (affixes) and its inner runs of three (n-grams), hashed into 2**SLOTS plac
 so words in code-switched text are labelled by forward-backward over the whole text, not by themselves. The language of a text
 is the one with the largest mean posterior over its words, which is the score.
 
-Training takes whole texts of the `sample` rows with a language of least hash of doc_id (a parameter; rows that are held out never) and
-cuts them into mixed sequences: spans of several languages in turn, whose labels are known. Exact gradients, AdaGrad, a fixed seed.
+Training takes the `sample` doc_ids with a language of least hash (a parameter; those that are held out never), of several texts that of
+least hash, and of a text of over STRETCH characters the stretch of so many from a place that its hash picks, so at most sample x STRETCH characters reach the
+driver. It cuts them into mixed sequences: spans of several languages in turn, whose labels are known. Exact gradients, AdaGrad, a fixed seed.
 
 Forward-backward is exact for any length: texts are cut into segments of SEGMENT words that advance together; transfer
 matrices of segments carry the messages between them. A word is a run of ASCII letters, digits and bytes from 0x80 after lower-casing.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common, words
 
 SAMPLE = 1500
+#: Characters that training takes of one text.
+STRETCH = 20_000
 SLOTS = 16
 SEGMENT = 128
 LENGTH, BATCH, STEPS, RATE = 40, 96, 120, 0.3
@@ -203,7 +206,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull() & F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     chosen = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` numbers, so they may be broadcast
-    got = rows.join(F.broadcast(chosen), "_id").dropDuplicates(["_id", "_lang"]).select("_id", "_lang", "_text").toArrow().sort_by([("_id", "ascending"), ("_lang", "ascending")])
+    hashed = rows.join(F.broadcast(chosen), "_id").withColumn("_h", F.xxhash64("_text"))
+    start = F.pmod("_h", F.greatest(F.length("_text") - STRETCH + 1, F.lit(1))).cast("int")
+    part = hashed.select("_id", "_lang", "_h", F.substring("_text", start + 1, F.lit(STRETCH)).alias("_part"))
+    one = part.groupBy("_id").agg(F.min_by(F.struct("_lang", "_part"), F.struct("_h", "_lang")).alias("s"))
+    got = one.select("_id", F.col("s._lang").alias("_lang"), F.col("s._part").alias("_text")).toArrow().sort_by("_id")
     return fit(words.lowered([x.encode() for x in got["_text"].to_pylist()]), got["_lang"].to_pylist())
 
 

@@ -102,12 +102,16 @@ def _block(m: Media, data: bytes, a: int, b: int, base: int, key: bool | None, c
     at, lacing = at + 3, flags >> 1 & 3
     sizes: list[int] = []
     if lacing:
+        if at >= b:
+            raise ValueError(f"a block is cut at byte {a}")
         frames, at = data[at] + 1, at + 1
         if lacing == 1:  # Xiph: runs of 255
             for _ in range(frames - 1):
                 n = 0
-                while data[at] == 255:
+                while at < b and data[at] == 255:
                     n, at = n + 255, at + 1
+                if at >= b:
+                    raise ValueError(f"laces reach past the block at byte {a}")
                 n, at = n + data[at], at + 1
                 sizes.append(n)
         elif lacing == 3:  # EBML: the first size, then signed differences

@@ -1,12 +1,13 @@
 """Operator 5: best-fit decreasing sequence packing with certified lower bounds.
 
-Documents become token ids and an end id; longer ones are cut into pieces of the capacity, of which only the first
-may be shorter. Pieces that fill a sequence stand alone. The others are dealt at random to partitions of about
+Documents become token ids, as the unmodified tokenizer file gives them, and an end id; longer ones are cut into pieces of the capacity, of which
+only the first may be shorter. Pieces that fill a sequence stand alone. The others are dealt at random to partitions of about
 `part_rows` pieces, and each partition is packed by best-fit decreasing. Dual-feasible functions give each partition
-a lower bound on its number of sequences: where it is met, the packing is proven best and stays. Partitions with a
-gap then exchange documents: groups of `fan` of them pool the pieces of sequences that aren't full, best-fit
-decreasing runs again over the pool, and its packing is taken if it has fewer sequences. Every step holds one partition or
-one pool, never a table; partitions are dealt by row, so no key can be hot.
+a lower bound on its number of sequences: where it is met, the packing is proven best. Then partitions exchange documents: those with a gap give all
+their sequences that aren't full, those without one only their emptiest, into pools of about `fan` partitions' rows; best-fit
+decreasing runs again over each pool, and its packing is taken if it has fewer sequences. Rounds go on until the whole table's own bound is met or a
+round saves nothing. Every step holds one partition or one pool, never a table; partitions are dealt by row, so no key can be hot.
+`certificate` states the whole table's sequences and bound.
 
 A null or empty text is the end id alone. Repeated rows and null doc_ids are packed like any others.
 """
@@ -28,11 +29,10 @@ from . import common
 CAPACITY = 2048
 PART_ROWS = 8192
 FAN = 8
-ROUNDS = 3
 #: Distinct chunks of text whose ids a worker process keeps; beyond it the memory of them starts anew.
 CACHE = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
-PACKED = PIECES + ", sequence_id long, offset long, unit long, gap long, full boolean"
+PACKED = PIECES + ", sequence_id long, offset long, unit long, gap long, fill long, emptiest boolean"
 
 
 #: Encoders and ids of chunks that a worker process has made, by tokenizer file.
@@ -45,7 +45,7 @@ _BLANK = np.isin(np.arange(256), [10, 32])
 
 
 def encoder(tokenizer_path: str) -> Callable[[str], list[int]]:
-    """Text to ids as `tokenizers` gives them for the file, special tokens' strings being ordinary text.
+    """Text without added tokens' strings to ids as `tokenizers` gives them for the file (such strings are ordinary text to it; see ids_of).
 
     `tokenizers` takes six times as long for words that it hasn't seen as tiktoken, which needs only ranks. So where the
     file is a byte-level BPE whose ids follow its merges, tiktoken gets its vocabulary; other files are left to `tokenizers`.
@@ -107,12 +107,12 @@ class _Chunks(dict):
         return ids
 
 
-def ids_of(tokenizer_path: str, specials: bool = False) -> Callable[[list[bytes]], list[bytes]]:
+def ids_of(tokenizer_path: str, specials: bool = True) -> Callable[[list[bytes]], list[bytes]]:
     """UTF-8 texts to ids as little-endian unsigned 32-bit bytes.
 
     Byte-level pre-tokens never reach over the place before a lone space, so a text without adjacent white space
-    is the concatenation of its space-led chunks; each distinct chunk is encoded once. Other texts are encoded whole. With `specials`, texts
-    that hold an added token's string go through `tokenizers` as the file has it; without, the string is ordinary text.
+    is the concatenation of its space-led chunks; each distinct chunk is encoded once. Other texts are encoded whole. Texts that hold
+    an added token's string go through `tokenizers` as the file has it; without `specials` the string is ordinary text.
     """
     encode = encoder(tokenizer_path)
     strings, by_file = added_tokens(tokenizer_path) if specials else ([], encode)
@@ -146,7 +146,7 @@ def ids_of(tokenizer_path: str, specials: bool = False) -> Callable[[list[bytes]
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", specials: bool = True) -> DataFrame:
     """A row for each piece, with a number (uid) of its own; to be written before it is used twice."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -170,11 +170,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Least number of bins by two families of dual-feasible functions, over all their thresholds."""
-    if not len(sizes):
+    """Least number of bins for these sizes."""
+    return bound_of(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(h: np.ndarray, capacity: int) -> int:
+    """Least number of bins for h[w] pieces of each size w, by two families of dual-feasible functions, over all their thresholds."""
+    if not h.sum():
         return 0
-    c, h = capacity, np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
-    w = np.arange(c + 1)
+    c, w = capacity, np.arange(capacity + 1)
     count, load = np.cumsum(h), np.cumsum(h * w)
     best = int(load[-1])
     # sizes over c - e count as c, those under e as nothing
@@ -216,7 +220,7 @@ def _laid(rows: pa.Table, bins: np.ndarray, sizes: np.ndarray, capacity: int, un
     offset = np.empty(len(bins), np.int64)
     offset[order] = ends - sizes[order] - first[bins[order]]
     n = len(bins)
-    for name, x in (("sequence_id", (unit << 24) + bins), ("offset", offset), ("unit", np.full(n, unit)), ("gap", np.full(n, gap)), ("full", load[bins] == capacity)):
+    for name, x in (("sequence_id", (unit << 24) + bins), ("offset", offset), ("unit", np.full(n, unit)), ("gap", np.full(n, gap)), ("fill", load[bins]), ("emptiest", bins == load.argmin())):
         rows = rows.append_column(name, pa.array(x))
     return rows
 
@@ -238,13 +242,22 @@ def _repack(capacity: int, r: int, names: list[str]):
     return again
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
+def _bound(items: DataFrame, capacity: int) -> int:
+    """Least number of sequences for all pieces; their sizes reach the driver as at most `capacity` counts."""
+    got = items.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    h = np.zeros(capacity + 1, np.int64)
+    h[got["length"].to_numpy()] = got["n"].to_numpy()
+    return bound_of(h, capacity)
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, fan: int = FAN, rounds: int | None = None) -> DataFrame:
     """PACKED rows for `items` (PIECES, written): places, and per unit the gap to its bound (0: proven best).
 
-    unit and sequence_id are any numbers; those of full pieces are negative.
+    unit and sequence_id are any numbers; those of full pieces are negative. `rounds` ends exchange earlier.
     """
     names = [x.split()[0] for x in PIECES.split(", ")]
-    alone = items.where(F.col("length") == capacity).select(*names, (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(-1).cast("long").alias("unit"), F.lit(0).cast("long").alias("gap"), F.lit(True).alias("full"))
+    number = lambda x: F.lit(x).cast("long")
+    alone = items.where(F.col("length") == capacity).select(*names, (-F.col("uid") - 1).alias("sequence_id"), number(0).alias("offset"), number(-1).alias("unit"), number(0).alias("gap"), number(capacity).alias("fill"), F.lit(False).alias("emptiest"))
     rest = items.where(F.col("length") < capacity)
     parts = max(1, -(-rest.count() // part_rows))
 
@@ -256,23 +269,37 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
 
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
     state = common.materialize(dealt.groupBy("part").applyInArrow(first, PACKED), "packed")
-    done = [alone]
-    for r in range(1, rounds + 1):
-        units = state.where("gap > 0").agg(F.count_distinct("unit")).first()[0]
+    sequences = lambda df: df.where("offset = 0").count()
+    free = (F.col("fill") < capacity) & ((F.col("gap") > 0) | F.col("emptiest"))
+    done, r = [alone], 0
+    excess = sequences(state) - _bound(rest, capacity)
+    while excess > 0 and (rounds is None or r < rounds):
+        r += 1
+        gives = state.where(free)
+        rows, units = gives.agg(F.count("*"), F.count_distinct("unit")).first()
         if units < 2:
             break
-        pools = -(-units // fan)
-
-        free = (F.col("gap") > 0) & ~F.col("full")
-        pooled = state.where(free).withColumn("pool", F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(pools))).groupBy("pool").applyInArrow(_repack(capacity, r, names), PACKED)
+        pools = -(-rows // (fan * part_rows))
+        pooled = gives.withColumn("pool", F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(pools))).groupBy("pool").applyInArrow(_repack(capacity, r, names), PACKED)
+        before = sequences(gives)
         done.append(state.where(~free))
         state = common.materialize(pooled, "packed")
+        saved = before - sequences(state)
+        excess -= saved
+        if not saved:
+            break
     out = state
     for x in done:
         out = out.unionByName(x)
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row (sequences, bound, tokens) for PACKED rows: bound is what no packing of all their pieces can be under."""
+    bound = _bound(packed, capacity)
+    return packed.agg(F.count_if(F.col("offset") == 0).alias("sequences"), F.lit(bound).alias("bound"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", specials: bool = True) -> DataFrame:
     """PACKED rows of all documents; with `specials`, ids are those of the unmodified tokenizer file."""
     return pack(common.materialize(pieces(docs, tokenizer_path, capacity, 0, id_col, text_col, specials), "pieces"), capacity)

@@ -3,18 +3,20 @@
 Values that pass their kind's check are replaced by another valid value of the same format, by a permutation of all
 values of that format under the key: equal values get equal pseudonyms in every document, different ones different pseudonyms.
 
-    email   letters and digits of the local part, each class by itself; dots and the domain stay
+    email   letters and digits of the local part, each class as one value of any length; dots and the domain stay
     iban    digits of the account part; letters stay, check digits are computed anew (mod 97)
     ip      IPv4 addresses, as 2 x 16 bits
     date    calendar dates of 1900 to 2099: year first, or day and month first (`day_first`; a date that is valid only in
             the other order keeps to days over 12); the separator and leading zeros stay
     ssn     area, group and serial of valid social security numbers
-    phone   North American numbers with separators or +1: area, exchange and line; other numbers with +: all but the first digit
+    phone   North American numbers with separators or +1: area, exchange and line; other numbers with +, and those with +1 whose area or
+            exchange can't be one: all but the first digit
     card    13 to 19 digits with a valid Luhn digit: all between the first and the check digit, which is computed anew
 
 A permutation may leave a value as it is (about once in as many values as the format has). A number that fails its
 check stays. Null texts stay null; empty texts, repeated rows and columns of other names pass unchanged. Every row is
-worked on by itself, without a shuffle. The key is a literal of the plan; pass one that is derived for the job.
+worked on by itself, without a shuffle. Time is in proportion to a value's length but for a sort of its characters. The key has no default: who knows it can undo the pseudonyms.
+It is a literal of the plan (and of the event log), so pass one that is derived for the job.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "folioscope"
+from .arrays import let
+
 ROUNDS = 8
 FIRST_YEAR, YEARS = 1900, 200
 #: Dates of 1900 to 2099 are 319 x 229 days.
@@ -49,11 +52,6 @@ def _combined() -> str:
     return "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _prf(key: str, tweak: str, turn: Column, x: Column) -> Column:
     """60 bits that depend on the key, the format, the round and the other half."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), turn.cast("string"), x.cast("string")).cast("binary"), 256)
@@ -91,36 +89,56 @@ def feistel_digits(digits: Column, key: str, tweak: str) -> Column:
     return F.when(n > 0, let(digits, whole)).otherwise("")
 
 
-def feistel_letters(letters: Column, key: str, tweak: str) -> Column:
-    """A permutation of the strings of as many letters a-z; pieces of 24 letters are permuted one by one."""
-    az, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
-    number = lambda s: F.coalesce(F.conv(F.translate(s, az, digits), 26, 10), F.lit("0")).cast("long")
-    back = lambda x, k: F.translate(F.lpad(F.lower(F.conv(x.cast("string"), 10, 26)), k, "0"), digits, az)
-    power = lambda k: F.element_at(F.array(*(F.lit(26**i) for i in range(13))), k + 1)
+def feistel_string(text: Column, key: str, tweak: str, letters: bool = False) -> Column:
+    """A permutation of the strings of as many decimal digits, or letters a-z, of any length.
+
+    The halves take turns: to each piece of one half is added, within the strings of its length, what key, round, piece number and the whole
+    other half give. So every character depends on all others.
+    """
+    az, inner = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+    base, most, pattern = (26, 11, "[a-z]{1,11}") if letters else (10, 15, "[0-9]{1,15}")
+    powers = F.array(*(F.lit(base**i) for i in range(1, most + 1)))
+    number = (lambda c: F.conv(F.translate(c, az, inner), 26, 10).cast("long")) if letters else (lambda c: c.cast("long"))
+    written = (lambda x: F.translate(F.lower(F.conv(x.cast("string"), 10, 26)), inner, az)) if letters else (lambda x: x.cast("string"))
+    zero = az[0] if letters else "0"
+
+    def moved(half: Column, digest: Column) -> Column:
+        def piece(c: Column, j: Column) -> Column:
+            m = F.element_at(powers, F.length(c))
+            drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", digest, j.cast("string")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+            return F.lpad(written((number(c) + drawn % m) % m), F.length(c), zero)
 
-    def piece(s: Column) -> Column:
-        n = F.length(s)
-        u = F.floor(n / 2).cast("int")
-        pair = feistel(F.when(u > 0, number(F.substring(s, F.lit(1), u))).otherwise(0), number(F.substring(s, u + 1, n)), power(u), power(n - u), key, tweak)
-        return let(pair, lambda p: F.concat(F.when(u > 0, back(p["l"], u)).otherwise(""), back(p["r"], n - u)))
+        return F.array_join(F.transform(F.regexp_extract_all(half, F.lit(pattern), F.lit(0)), piece), "")
 
-    return F.array_join(F.transform(F.regexp_extract_all(letters, F.lit("[a-z]{1,24}"), F.lit(0)), piece), "")
+    def turn(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), F.when(even, s["r"]).otherwise(s["l"])).cast("binary"), 256)
+        new = let(digest, lambda d: moved(F.when(even, s["l"]).otherwise(s["r"]), d))
+        return let(new, lambda x: F.struct(F.when(even, x).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(x).alias("r")))
+
+    u = F.floor(F.length(text) / 2).cast("int")
+    start = F.struct(F.substring(text, F.lit(1), u).alias("l"), F.substring(text, u + 1, F.length(text)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
 def weave(template: Column, digits: Column, letters: Column | None = None) -> Column:
     """template with its digits, and its letters in their case, replaced in turn; a character too many stays."""
+    chars = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
 
-    def step(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]") & (acc["d"] <= F.length(digits))
-        out, ld, ll = F.when(digit, F.substring(digits, acc["d"], F.lit(1))), acc["d"] + digit.cast("int"), acc["a"]
-        if letters is not None:
-            lower, upper = c.rlike("[a-z]"), c.rlike("[A-Z]")
-            new = F.substring(letters, acc["a"], F.lit(1))
-            out, ll = out.when(lower, new).when(upper, F.upper(new)), acc["a"] + (lower | upper).cast("int")
-        return F.struct(F.concat(acc["out"], out.otherwise(c)).alias("out"), ld.alias("d"), ll.alias("a"))
+    def of(s: Column) -> Column:
+        placed = lambda pattern, new: F.transform(F.filter(s["all"], lambda x: x["c"].rlike(pattern)), new)
+        made = lambda x, c: F.struct(x["at"].alias("at"), c.alias("c"))
+        parts = [placed("[0-9]", lambda x, k: made(x, F.coalesce(F.get(s["digits"], k), x["c"])))]
+        if letters is None:
+            parts.append(placed("[^0-9]", lambda x: x))
+        else:
+            new = lambda x, k: F.coalesce(F.get(s["letters"], k), x["c"])
+            parts.append(placed("[A-Za-z]", lambda x, k: made(x, F.when(x["c"].rlike("[A-Z]"), F.upper(new(x, k))).otherwise(new(x, k)))))
+            parts.append(placed("[^0-9A-Za-z]", lambda x: x))
+        return F.array_join(F.transform(F.array_sort(F.concat(*parts)), lambda x: x["c"]), "")
 
-    chars = F.regexp_extract_all(template, F.lit("(?s)."), F.lit(0))
-    return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("d"), F.lit(1).alias("a")), step, lambda acc: acc["out"])
+    every = F.transform(chars(template), lambda c, i: F.struct(i.alias("at"), c.alias("c")))
+    return let(F.struct(every.alias("all"), chars(digits).alias("digits"), *([chars(letters).alias("letters")] if letters is not None else [])), of)
 
 
 def _digits(s: Column) -> Column:
@@ -246,13 +264,16 @@ def _phone(m: Column, key: str) -> Column:
     def other(d: Column) -> Column:
         return F.when(F.length(d).between(8, 15), weave(m, F.concat(F.substring(d, 1, 1), feistel_digits(F.substring(d, F.lit(2), F.length(d)), key, "phone"))))
 
-    return F.when(north, let(_digits(m), nanp)).otherwise(let(_digits(m), other))
+    # a number with +1 that can't be North American still is a number with +
+    return F.coalesce(F.when(north, let(_digits(m), nanp)), F.when(m.startswith("+"), let(_digits(m), other)))
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    of = lambda s: F.concat(weave(s, feistel_digits(F.substring(_digits(s), 1, 36), key, "email"), feistel_letters(F.lower(F.regexp_replace(s, "[^A-Za-z]", "")), key, "email")), F.substring(m, F.length(s) + 1, F.length(m)))
-    return let(local, of)
+    def of(s: Column) -> Column:
+        letters = F.lower(F.regexp_replace(s, "[^A-Za-z]", ""))
+        return F.concat(weave(s, feistel_string(_digits(s), key, "email"), feistel_string(letters, key, "email", letters=True)), F.substring(m, F.length(s) + 1, F.length(m)))
+
+    return let(F.substring_index(m, "@", 1), of)
 
 
 def _replaced(m: Column, key: str, day_first: bool) -> Column:
@@ -270,7 +291,7 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda x: x == kind
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", day_first: bool = True, counts: bool = True) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", day_first: bool = True, counts: bool = True) -> DataFrame:
     """docs with text_col pseudonymized, and with counts of replaced values n_<kind> (long) if asked for, in place of columns of that name."""
     pattern = F.lit(_combined())
     text = F.col(text_col).cast("string")

@@ -6,7 +6,7 @@ weights kept sparse by its soft threshold) gives the rules weights; rules with w
 a projection without a shuffle.
 
 The sample is the `sample` labelled rows of least hash of doc_id (SAMPLE; a parameter): only their statistics reach the
-driver. A doc_id with several labels counts by their mean; null labels and labels without a document are left out. Without labels, or
+driver. A doc_id with several labels counts by their mean, one with several texts by that of least hash; null labels and labels without a document are left out. Without labels, or
 with one class alone, the score is the share of label 1 (0.5 without labels). Null texts count as empty and get a score like
 any other; repeated rows repeat.
 """
@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("double").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` small rows, so they may be broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("_y", "_id", statistics(F.col("_text")).alias("s")).select("_y", "_id", "s.*").toArrow().sort_by([("_id", "ascending"), ("log_chars", "ascending")])
+    # of several texts of one doc_id the one of least hash
+    got = rows.select("_y", "_id", F.xxhash64("_text").alias("_h"), statistics(F.col("_text")).alias("s")).groupBy("_id", "_y").agg(F.min_by("s", "_h").alias("s")).select("_y", "_id", "s.*").toArrow().sort_by("_id")
     x = np.stack([got[k].to_numpy() for k in NAMES], axis=1) if got.num_rows else np.empty((0, len(NAMES)))
     return fit(x, got["_y"].to_numpy())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,17 @@ from . import decontaminate, language, matroska, packing, pii, quality, secrets,
 from .common import table
 
 
+#: The session's setting that holds the key of pseudonyms. Without it each application draws one, so its pseudonyms can't be undone, nor linked to another's.
+PII_KEY = "spark.folioscope.piiKey"
+_drawn: dict[str, str] = {}
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY, None) or _drawn.setdefault(spark.sparkContext.applicationId, token_hex(32))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), specials=True).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "unit", "gap")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "unit", "gap")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ query are verified with its rule. Rules without mandatory trigrams scan every do
 trigrams for each document, and grouping is by document, so common trigrams make no hot task.
 
 Spans are code points, end exclusive. Null and empty texts have none. Rows that repeat a doc_id share candidates
-and are verified each for itself; null doc_ids are joined null-safely. Columns of other names are not read.
+and are verified each for itself; rows with a null doc_id, which no posting can name, are verified with every rule. Columns of other names are not read.
+Work within a row grows with its text and spans, not with their square.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
+from .arrays import let
+
 #: Alternatives that a query's derivation keeps apart; beyond it the rest of a rule counts as anything, which only widens the query.
 ALTERNATIVES = 64
 GAP = None
@@ -138,14 +142,17 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), sized.alias("sized"))
     empty = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["hit"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["sized"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(z: Column) -> Column:
+        before = arrays.scan(F.transform(z, lambda x: (x["gap"] + x["hit"]).cast("long")), lambda a, b: a + b)
+
+        def span(x: Column, at: Column) -> Column:
+            start = (at + x["gap"]).cast("int")
+            return F.when(x["sized"] >= rule.least, F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind")))
+
+        return let(before, lambda at: F.array_compact(F.transform(z, lambda x, k: span(x, F.get(at, k)))))
 
     # the last gap has no match after it
-    found = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    found = let(F.filter(parts, lambda x: x["hit"].isNotNull()), placed)
     return F.when(text.rlike(rule.guard or rule.pattern), found).otherwise(empty)
 
 
@@ -156,7 +163,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(id_col).alias("_id"), text.alias("_text"))
     if found is not None:
-        rows = rows.join(found.select(F.col("doc_id").alias("_doc"), F.col("rules").alias("_rules")), F.col("_id").eqNullSafe(F.col("_doc")), "left")
+        named = rows.where(F.col("_id").isNotNull()).join(found.select(F.col("doc_id").alias("_doc"), F.col("rules").alias("_rules")), F.col("_id") == F.col("_doc"), "left").select("row", "_text", "_rules")
+        every = F.array(*(F.lit(r.kind) for r in rules))
+        rows = named.union(rows.where(F.col("_id").isNull()).select("row", "_text", every.alias("_rules")))
     empty = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
     parts = []
     for order, rule in enumerate(rules):
@@ -183,12 +192,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     found = scan(docs, rules, id_col, text_col, names)
     text = F.col("_text")
 
-    def cover(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def covered(x: Column) -> Column:
+        # what lies before a span that begins at or after the end of all before it, and the mask
+        piece = lambda s, k: F.when(s["start"] >= F.get(x["ends"], k), F.concat(arrays.cut(x["parts"], F.get(x["ends"], k), s["start"]), F.lit(mask))).otherwise("")
+        last = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform("spans", piece), ""), arrays.cut(x["parts"], last, F.length(text)))
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    ends = arrays.scan(F.transform("spans", lambda s: s["end"].cast("long")), lambda a, b: F.greatest(a, b))
+    clean = let(F.struct(ends.alias("ends"), arrays.segments(text).alias("parts")), covered)
     own = F.col("row")
     return found.select(*(F.when(own[c].isNotNull(), F.when(F.size("spans") > 0, clean).otherwise(text)).alias(c) if c == text_col else own[c].alias(c) for c in names))
 

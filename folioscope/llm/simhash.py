@@ -1,9 +1,10 @@
 """Operator 6: SimHash near-duplicates by segment popcounts.
 
-A 64-bit fingerprint becomes 32 counts (0 to 2) of the set bits in segments of two. The Manhattan distance of two
-such vectors never exceeds the Hamming distance of the fingerprints, so for up to 3 differing bits one half of the
-vector (16 counts) differs by at most 1: each half is a grid, a fingerprint is put in its own cell and looked up
-in its cell and the 32 next to it. What meets in a cell is verified on the fingerprints. Equal fingerprints count once.
+Each half of a 64-bit fingerprint in turn is embedded as the counts of set bits of its 32 segments of one bit, and the other half as the
+count of its one segment of 32. The Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints; for up to 3
+differing bits it is at most 1 along one half's 32 axes, so these are a grid: a fingerprint is put in its own cell and looked up in its cell and the
+32 one step away. Cells are as fine as 32 bits allow: of N fingerprints spread evenly one meets about N / 2**26 others by chance. What
+meets in a cell is held against the bound (both halves' distances together), then verified on the fingerprints. Equal fingerprints count once.
 
 Cells with more than `dense` fingerprints emit no pairs: their members are searched in blocks, breadth first, and
 only a spanning forest of the links comes out, so a group of thousands of near copies costs no quadratic output
@@ -23,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -54,35 +54,38 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp: long), one row for each row of docs."""
+    """(doc_id, text_hash: long, fp: long), one row for each row of docs."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = np.array([fingerprint(t, n) for t in common.texts_of(batch.column(1))], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], ["doc_id", "text_hash", "fp"])
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.map_slices(rows, "doc_id long, fp long", make)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _text_hash(text).alias("text_hash"))
+    return common.map_slices(rows, "doc_id long, text_hash long, fp long", make)
 
 
-def _half(high: bool) -> Column:
-    return F.shiftrightunsigned("fp", 32) if high else F.col("fp").bitwiseAND(0xFFFFFFFF)
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
-def _cell(x: Column) -> Column:
-    """Counts of set bits in 16 two-bit segments, each in two bits."""
-    return x - F.shiftrightunsigned(x, 1).bitwiseAND(0x55555555)
+def _cells(fp: Column) -> Column:
+    """The two cells of a fingerprint: one half, and which half it is in the lowest bit."""
+    halves = (fp.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(fp, 32))
+    return F.array(*(F.shiftleft(h, 1).bitwiseOR(F.lit(k).cast("long")) for k, h in enumerate(halves)))
 
 
 def _near(cell: Column) -> Column:
     """The cell and those one step away along one axis."""
-    near = [cell]
-    for i in range(16):
-        at = F.shiftrightunsigned(cell, 2 * i).bitwiseAND(3)
-        near += [F.when(at < 2, cell + (1 << 2 * i)), F.when(at > 0, cell - (1 << 2 * i))]
-    return F.explode(F.array_compact(F.array(*near)))
+    return F.concat(F.array(cell), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: cell.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+
+
+def _bound(a: Column, b: Column) -> Column:
+    """Manhattan distance of the vectors of two fingerprints that share a grid (the lower half's): never over the Hamming distance."""
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(0xFFFFFFFF)) + F.abs(F.bit_count(F.shiftrightunsigned(a, 32)) - F.bit_count(F.shiftrightunsigned(b, 32)))
 
 
 def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -105,14 +108,11 @@ def links(fps: DataFrame, bits: int = BITS, dense: int = DENSE, block: int = BLO
     """(a, b): links between distinct fingerprints of `fps` (fp) that connect all within `bits` (3 at most)."""
     if not 0 <= bits <= 3:
         raise ValueError("the grid's one step along one half covers up to 3 bits")
-    cells = F.array(*(F.struct(F.lit(h).alias("half"), _cell(_half(bool(h))).alias("cell")) for h in (0, 1)))
-    own = fps.select("fp", F.inline(cells))
-    look = own.select("fp", "half", _near(F.col("cell")).alias("cell"))
-    # packed in one key, that both sides are dealt by once
-    own, look = (x.select("fp", F.shiftleft("cell", 1).bitwiseOR(F.col("half")).alias("cell")) for x in (own, look))
+    own = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    look = own.select("fp", F.explode(_near(F.col("cell"))).alias("cell"))
     sizes = own.groupBy("cell").agg(F.count("*").alias("n"))
     base = own.join(sizes, "cell")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits
+    close = (_bound(F.col("fp"), F.col("other")) <= bits) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits)
     sparse = base.where(F.col("n") <= dense).select("cell", F.col("fp").alias("other")).join(look, "cell").where((F.col("other") < F.col("fp")) & close).select(F.col("other").alias("a"), F.col("fp").alias("b"))
     hot = sizes.where(F.col("n") > dense).select("cell", F.ceil(F.col("n") / block).cast("int").alias("kb"))
     near = look.join(hot, "cell").select("cell", "fp", "kb")
@@ -129,25 +129,34 @@ def links(fps: DataFrame, bits: int = BITS, dense: int = DENSE, block: int = BLO
     return sparse.union(thick)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id that links reach."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """(doc_id, text_hash, fp, root: the component's number, component_id) for every row."""
     rows = common.materialize(fingerprints(docs, id_col, text_col), "simhash")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    least = common.materialize(least, "simhash-least")
-    found = common.connected_components(links(least.select("fp"), bits))
+    least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-least")
+    found = common.materialize(common.connected_components(links(least.select("fp"), bits)), "simhash-components")
     # only linked fingerprints are looked up; the others stand for themselves
     tied = least.join(found, least.fp == found.node).select("fp", "least", "root")
-    tops = tied.groupBy("root").agg(F.min("least").alias("top"))
-    tied = tied.join(tops, "root").select("fp", F.col("top"))
-    of = least.join(tied, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    tops = tied.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("n"))
+    tied = common.lookup(tied, tops, ["root"], found.count()).select("fp", "root", "top")
+    of = least.join(tied, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id"))
+    return common.lookup(rows, common.materialize(of, "simhash-of"), ["fp"], rows.count())
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; of repeated rows of that doc_id one stays. A null doc_id stays."""
-    kept = near_duplicates(docs, id_col, text_col, bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id that links reach."""
+    found = components(docs, id_col, text_col, bits)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.StringType()), T.StructField("component_id", T.LongType())])
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of each component: of the rows with its smallest doc_id that of least text hash.
+
+    Components are of texts, so rows of one doc_id whose texts aren't near each other all stay. A row with a null doc_id stays.
+    """
+    of = F.struct("doc_id", "text_hash")
+    kept = components(docs, id_col, text_col, bits).where("doc_id is not null").groupBy("root").agg(F.min(of).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
+    names, row = docs.columns, F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_kept_id"), _text_hash(F.col(text_col).cast("string")).alias("_kept_hash"), row)
+    rows = rows.join(kept, ["_kept_id", "_kept_hash"], "left_semi").dropDuplicates(["_kept_id", "_kept_hash"])
+    return rows.select(*(F.col("row")[c].alias(c) for c in names)).unionByName(docs.where(F.col(id_col).isNull()))

@@ -10,7 +10,11 @@ central directory. Stored members are located by their local headers, the index
 read by range and parsed. Nothing is extracted.
 
 A record whose payload was stored with a larger page_id becomes a revisit: it has the HTTP headers, no payload. Digests are
-grouped with pre-aggregation and joined by page_id, so a payload that a third of all pages share makes no hot task.
+grouped with pre-aggregation; pages whose payload over one in `common.HOT` pages has get its largest page_id by a broadcast of these few
+digests, the others by a join in which no key has more rows, so a payload that a third of all pages share makes no hot task.
+
+What `round_trip` returns about a payload comes from payloads that were read: a response's digest and size are computed anew, a
+revisit's are those of the response it refers to. A record that doesn't hold what its headers say, or a revisit without its response, raises ValueError.
 Rows that share the largest page_id of a payload (repeated rows) are all responses. Null html is an empty payload, a null url an
 empty one; a null page_id counts as the least. Empty tables give empty results.
 """
@@ -30,7 +34,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +43,7 @@ ARCHIVE_BYTES = 64 << 20
 WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.cdx"
 #: An end record has a comment of at most 65,535 bytes.
 TAIL = 22 + 65_535 + 20
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, stored_digest_ok boolean, archive string, offset long, length long"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 _DATE = "2000-01-01T00:00:00Z"
 
 
@@ -198,7 +202,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """RECORDS of all archives named in `archives` (archive), each record by its own range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         names = [x.split()[0] for x in RECORDS.split(", ")]
         number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
         for batch in batches:
@@ -217,32 +221,55 @@ def read_archives(archives: DataFrame) -> DataFrame:
                             kind, sha1 = r.headers["warc-type"], r.headers["warc-payload-digest"].removeprefix("sha1:")
                             size = int(r.http["content-length"])
                             refers = number(r.headers["warc-refers-to"]) if kind == "revisit" else None
-                            ok = kind == "revisit" or (len(r.payload) == size and digest(r.payload) == sha1)
-                            rows.append((number(r.headers["warc-record-id"]), r.headers["warc-target-uri"], size, sha1, kind, refers, ok, path, data + int(offset), int(length)))
+                            if kind != "revisit" and (len(r.payload) != size or digest(r.payload) != sha1):
+                                raise ValueError(f"{path}: the payload at byte {data + int(offset)} isn't what its record says")
+                            rows.append((number(r.headers["warc-record-id"]), r.headers["warc-target-uri"], size, sha1, kind, refers, path, data + int(offset), int(length)))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return archives.select("archive").mapInArrow(run, RECORDS)
 
 
+def _digest_column(html: Column) -> Column:
+    """Bare upper-case base32 of SHA-1: 5 bits a character."""
+    sha1 = F.sha1(html)
+    parts = (F.lpad(F.conv(F.substring(sha1, i, 10), 16, 32), 8, "0") for i in range(1, 41, 10))
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def with_responses(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """rows (page_id, url, html) with sha1 and response_id: the largest page_id of those with the same payload."""
+    rows = rows.withColumns({"sha1": _digest_column(F.col("html")), "size": F.octet_length("html")})
+    seen = rows.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1")
+    seen = common.materialize(seen, "warc-digests")
+    hot = F.col("n") > rows.count() / common.HOT
+    few = seen.where(hot).select("sha1", "size", F.struct("response_id").alias("few"))
+    # rows that have met theirs are dealt out evenly: nothing equals their key
+    met = rows.join(F.broadcast(few), ["sha1", "size"], "left").withColumn("key", F.when(F.col("few").isNotNull(), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("sha1")))
+    rest = seen.where(~hot).select(F.col("sha1").alias("key"), F.col("size").alias("size_"), F.struct("response_id").alias("rest"))
+    found = met.join(rest, [met["key"] == rest["key"], met["size"] == rest["size_"]], "left")
+    return found.select("page_id", "url", "html", "sha1", F.coalesce("few.response_id", "rest.response_id", "page_id").alias("response_id"))
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """RECORDS with each revisit's payload_bytes and payload_digest taken from the response it refers to; ValueError if one has none."""
+    records = common.materialize(records, "warc-records")
+    revisits = records.where("record_type = 'revisit'")
+    pairs = revisits.groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n"))
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("read_bytes")).distinct()
+    table = common.materialize(pairs.join(responses, ["refers_to", "payload_digest"]), "warc-responses")
+    total, followed = revisits.count(), table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total != followed:
+        raise ValueError(f"{total - followed} revisits refer to no response with their payload")
+    followed = common.lookup(revisits, table, ["refers_to", "payload_digest"], max(total, 1)).withColumn("payload_bytes", F.col("read_bytes"))
+    return records.where("record_type <> 'revisit'").unionByName(followed.select(*records.columns))
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages to archives and read them back: RECORDS. Payloads under `least_bytes` never become revisits."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    # bare upper-case base32 of SHA-1: 5 bits a character
-    sha1 = F.sha1("html")
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    bits = F.lpad(F.conv(F.substring(sha1, 1, 10), 16, 32), 8, "0")
-    for i in range(11, 41, 10):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(sha1, i, 10), 16, 32), 8, "0"))
-    rows = rows.withColumn("sha1", F.translate(bits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", alphabet))
-    seen = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha1", F.octet_length("html").alias("size")).agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").select("sha1", "size", "response_id")
-    tied = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1", F.octet_length("html").alias("size")).join(seen, ["sha1", "size"]).where("page_id is null or page_id <> response_id").select("page_id", "sha1", "response_id").distinct()
-    whole = rows.alias("r").join(tied.alias("t"), F.expr("r.page_id <=> t.page_id and r.sha1 = t.sha1"), "left").select("r.page_id", "url", "html", "r.sha1", F.coalesce("t.response_id", "r.page_id").alias("response_id"))
-    folder = common.new_path(spark, "warc")
-    made = common.materialize(write_archives(whole, folder), "warc-manifest")
-    return read_archives(made.repartition(max(1, spark.sparkContext.defaultParallelism)))
-
-
+    made = common.materialize(write_archives(with_responses(rows, least_bytes), common.new_path(spark, "warc")), "warc-manifest")
+    return resolved(read_archives(made.repartition(max(1, spark.sparkContext.defaultParallelism))))
 
 
 def oracle() -> str:
