@@ -5,8 +5,8 @@ only the first may be shorter. Pieces that fill a sequence stand alone. The othe
 `part_rows` pieces, and each partition is packed by best-fit decreasing. Dual-feasible functions give each partition
 a lower bound on its number of sequences: where it is met, the packing is proven best. Then partitions exchange documents: those with a gap give all
 their sequences that aren't full, those without one only their emptiest, into pools of about `fan` partitions' rows; best-fit
-decreasing runs again over each pool, and its packing is taken if it has fewer sequences. Rounds go on until the whole table's own bound is met or a
-round saves nothing. Every step holds one partition or one pool, never a table; partitions are dealt by row, so no key can be hot.
+decreasing runs again over each pool, and its packing is taken if it has fewer sequences. When such a round saves nothing, all sequences that aren't full
+are pooled in the same way. Rounds go on until the whole table's own bound is met or that saves nothing either. Every step holds one partition or one pool, never a table; partitions are dealt by row, so no key can be hot.
 `certificate` states the whole table's sequences and bound.
 
 A null or empty text is the end id alone. Repeated rows and null doc_ids are packed like any others.
@@ -271,25 +271,31 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
     state = common.materialize(dealt.groupBy("part").applyInArrow(first, PACKED), "packed")
     sequences = lambda df: df.where("offset = 0").count()
     free = (F.col("fill") < capacity) & ((F.col("gap") > 0) | F.col("emptiest"))
-    done, r = [alone], 0
+    done, r, wide = [], 0, False
     excess = sequences(state) - _bound(rest, capacity)
     while excess > 0 and (rounds is None or r < rounds):
         r += 1
-        gives = state.where(free)
+        if wide:
+            for x in done:
+                state = state.unionByName(x)
+            done = []
+        takes = F.col("fill") < capacity if wide else free
+        gives = state.where(takes)
         rows, units = gives.agg(F.count("*"), F.count_distinct("unit")).first()
-        if units < 2:
-            break
-        pools = -(-rows // (fan * part_rows))
-        pooled = gives.withColumn("pool", F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(pools))).groupBy("pool").applyInArrow(_repack(capacity, r, names), PACKED)
-        before = sequences(gives)
-        done.append(state.where(~free))
-        state = common.materialize(pooled, "packed")
-        saved = before - sequences(state)
-        excess -= saved
-        if not saved:
+        saved = 0
+        if units > 1:
+            pools = -(-rows // (fan * part_rows))
+            pooled = gives.withColumn("pool", F.pmod(F.xxhash64("sequence_id" if wide else "unit", F.lit(r)), F.lit(pools))).groupBy("pool").applyInArrow(_repack(capacity, r, names), PACKED)
+            before = sequences(gives)
+            done.append(state.where(~takes))
+            state = common.materialize(pooled, "packed")
+            saved = before - sequences(state)
+            excess -= saved
+        if wide and not saved:
             break
+        wide = not saved
     out = state
-    for x in done:
+    for x in (alone, *done):
         out = out.unionByName(x)
     return out
 
