@@ -54,6 +54,11 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, rx(f"[{SPACE}]+"), -1), lambda w: F.length(w) > 0)
 
 
+def strings(values: list[str]) -> Column:
+    """A constant array of strings, as one expression however many they are."""
+    return F.split(F.lit("\x01".join(values)), "\x01", -1)
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

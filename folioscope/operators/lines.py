@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import has, let, normal_form, split_lines, strip
+from folioscope.functions.text import filled_lines, has, let, normal_form, split_lines, strip
 
 NUMBERED = r"^No\.?\s*\d+\s*$"
 
@@ -74,6 +74,11 @@ def drop_prefix_loops(text: Column, prefix: int = 15, least: int = 8) -> Column:
 
 def most_common_line(text: Column) -> Column:
     """Struct (line, n) of the most frequent stripped line that isn't empty, the first of equally frequent ones; null without lines."""
+    return let(filled_lines(text), most_common)
+
+
+def most_common(lines: Column) -> Column:
+    """most_common_line() of lines that are stripped and not empty; bind them before."""
 
     def runs(rows: Column) -> Column:
         """Longest run of the sorted lines, as (n, -first place, line)."""
@@ -88,10 +93,5 @@ def most_common_line(text: Column) -> Column:
 
         return F.aggregate(rows, F.struct(start.alias("now"), start.alias("best")), step, lambda acc: acc["best"])
 
-    def of(lines: Column) -> Column:
-        rows = F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))))
-        return F.when(F.size(lines) > 0, let(runs(rows), lambda b: F.struct(b["line"].alias("line"), b["n"].alias("n"))))
-
-    from folioscope.functions.text import filled_lines
-
-    return let(filled_lines(text), of)
+    rows = F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))))
+    return F.when(F.size(lines) > 0, let(runs(rows), lambda b: F.struct(b["line"].alias("line"), b["n"].alias("n"))))

@@ -128,7 +128,8 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     (tmp_path / "below").mkdir()
     (tmp_path / "below" / "d.png").write_bytes(b"x")
-    assert [r.path.rsplit("/", 1)[1] for r in files.scan(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PDF"]
+    assert sorted(r.file_name for r in files.scan(spark, str(tmp_path)).collect()) == ["a.jpg", "b.PDF"]
+    assert [r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PDF"]
     with pytest.raises(ValueError, match="Unsupported"):
         files.uploads(spark, [("x.txt", b"")])
 
