@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.functions.tables import ARABIC_CORRECTIONS, DOCUMENT_TYPES, ENGLISH_CORRECTIONS, KEYWORDS
+from folioscope.functions.tables import ARABIC_CORRECTIONS, DIGITS_FROM, DIGITS_TO, DOCUMENT_TYPES, ENGLISH_CORRECTIONS, KEYWORDS, TYPE_PATTERNS
 from folioscope.functions.text import FOLD_FROM, FOLD_TO, HAMZA_FROM, HAMZA_TO, MARKS, TATWEEL, normal_text
 from folioscope.operators.classify import DETECTORS, keyword_weight
 from folioscope.operators.clean import CODE, FOREIGN, MODEL_TALK
+from folioscope.operators.correct import FIELD_PATTERNS
 from folioscope.operators.grade import CODE_WORDS, GATE_MARKERS, REPORT_MARKERS
 from folioscope.operators.merge import COUNTED, PRESENT
 from folioscope.plans import render
@@ -156,6 +157,7 @@ def _similarity() -> str:
 
 
 def _best_line() -> str:
+    """Of each three lines in turn the best one."""
     score = "least(length(s), 200) * 0.3::double"
     for points, pattern, _ in COUNTED[:5]:
         score += f" + {points}::double * {_count('s', pattern)}"
@@ -169,8 +171,8 @@ def _best_line() -> str:
         score += f" + case when regexp_matches(s, {_q(flag(f) + pattern)}) then {points}::double else 0.0::double end"
     ar, en = _count("s", "[؀-ۿ]"), _count("s", "[a-zA-Z]")
     score += f" + case when {ar} > 0 and {en} > 0 and least({ar}, {en}) > 0.1::double * greatest({ar}, {en}) then 2.0::double else 0.0::double end"
-    first = f"select *, max(length(s)) over (partition by doc_id) as longest from (select doc_id, s, row_number() over (partition by doc_id order by n) as k from ({_lines(DOCUMENTS)}) where s <> '') where k <= 3"
-    return f"select doc_id, arg_max(s, (score, -k)) as line from (select *, {score} as score from ({first})) group by doc_id"
+    threes = f"select *, max(length(s)) over (partition by doc_id, g) as longest from (select doc_id, s, (k - 1) // 3 as g, k from (select doc_id, s, row_number() over (partition by doc_id order by n) as k from ({_lines(DOCUMENTS)}) where s <> ''))"
+    return f"select doc_id, g::bigint as n, arg_max(s, (score, -k)) as line from (select *, {score} as score from ({threes})) group by doc_id, g"
 
 
 def _chain(x: str, steps: list[tuple[str, str, str]]) -> str:
@@ -179,42 +181,147 @@ def _chain(x: str, steps: list[tuple[str, str, str]]) -> str:
     return x
 
 
+def _of(source: str, x: str) -> str:
+    """The text of `source` (doc_id, text) after an expression on it."""
+    return f"select doc_id, {x} as text from ({source})"
+
+
+def _in_turn(x: str, rules: list[tuple[str, str]], plain: bool) -> str:
+    """Ordered replacements, all of them."""
+    rows = ", ".join(f"{{'a': {_q(a)}, 'b': {_q(b)}}}" for a, b in rules)
+    step = "replace(acc.b, r.a, r.b)" if plain else "regexp_replace(acc.b, '(?i)' || regexp_escape(r.a), r.b, 'g')"
+    return f"list_reduce([{rows}], lambda acc, r: {{'a': '', 'b': {step}}}, {{'a': '', 'b': {x}}}).b"
+
+
+_AR = "[\u0600-\u06ff]"
+
+
+def _artifacts(x: str) -> str:
+    return _chain(x, [(r"(\d)O(\d)", "\\1" + "0\\2", ""), (r"O(\d{2,})", "0\\1", ""), (r"(\d)l(\d)", "\\1" + "1\\2", ""), (r"(\d)S(\d)", "\\1" + "5\\2", "")])
+
+
+def _doubled(x: str) -> str:
+    """Without back references: each letter of the block by itself."""
+    step = "regexp_replace(acc.b, r.a || r.a || '([^\u0600-\u06ff]|$)', r.a || '\\1', 'g')"
+    return f"list_reduce(list_transform(range(1536, 1792), lambda c: {{'a': chr(c::int), 'b': ''}}), lambda acc, r: {{'a': '', 'b': {step}}}, {{'a': '', 'b': {x}}}).b"
+
+
+def _swift(x: str) -> str:
+    label = r"((?i:(?:SWIFT|BIC|S\.?W\.?I\.?F\.?T)\s*(?:CODE|COE|COD)?\s*:?\s*))"
+    return _chain(x, [(r"\bSCBL(AS|AD)AD\b", "SCBLAEAD", ""), (r"\bSCBL(AS|AD)33\b", "SCBLAE33", ""), (label + r"([A-Z]{4})(?:AS|AD)(?:([A-Z]{5})|([A-Z]{2,4})([^A-Za-z]|$))", r"\1\2AE\3\4\5", "")])
+
+
+def _patterns(x: str) -> str:
+    """Where a detached word follows at once on another this differs, as matches can't share characters here."""
+    al, ll = "ال", "لل"
+    steps = [(rf"(^|\s){al}\s+({_AR})", rf"\1{al}\2", "m"), (rf"(^|\s){al}\s+{al}({_AR})", rf"\1{al}\2", "m"), (rf"(^|\s){ll}\s+({_AR})", rf"\1{ll}\2", "m")]
+    steps += [(r"(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})", r"\1/\2/\3", ""), (r"(\d{4})\s*/\s*(\d{1,2})\s*/\s*(\d{1,2})", r"\1/\2/\3", ""), (r"\s+:\s+", ": ", ""), (r"\s+;\s+", "; ", "")]
+    return _chain(x, [("(?m)" + p if f else p, n, "") for p, n, f in steps])
+
+
+def _digits(source: str) -> str:
+    for p in FIELD_PATTERNS:
+        hit = lambda g, p=p: f"regexp_extract(text, {_q('(?i)' + p)}, {g})"
+        source = _of(source, f"case when {hit(0)} <> '' then replace(text, {hit(0)}, {hit(1)} || translate({hit(2)}, {_q(DIGITS_FROM)}, {_q(DIGITS_TO)})) else text end")
+    return source
+
+
+def _normal_arabic(x: str) -> str:
+    return f"regexp_replace(replace(replace(replace({x}, {_q(TATWEEL)}, ''), '،،', '،'), '؟؟', '؟'), '({_AR}),(\\s*{_AR})', '\\1،\\2', 'g')"
+
+
+def _numbers(x: str) -> str:
+    return _chain(x, [(r"(\d)\.\s+(\d{2})\b", r"\1.\2", ""), (r"(\d{1,4})\s*[-–—]\s*(\d{1,2})\s*[-–—]\s*(\d{1,4})", r"\1-\2-\3", "")])
+
+
+def _code(x: str) -> str:
+    return _chain(x, [(p, n.replace("$1", chr(92) + "1"), f) for p, n, f in CODE])
+
+
+def _talk(x: str) -> str:
+    return _chain(x, [("(?im)" + p, "", "") for p in MODEL_TALK])
+
+
+def _scripts(x: str) -> str:
+    return f"regexp_replace({x}, {_q(f'[{FOREIGN}]+')}, '', 'g')"
+
+
+def cleaned(source: str) -> str:
+    """The whole cleaning of (doc_id, text)."""
+    for step in (_scripts, _talk, _code):
+        source = _of(source, step("text"))
+    source = _loops(_near(_runs(source)))
+    source = _of(_of(source, _artifacts("text")), _doubled("text"))
+    source = _of(_of(source, _in_turn("text", ARABIC_CORRECTIONS, True)), _in_turn("text", ENGLISH_CORRECTIONS, False))
+    source = _digits(_of(_of(source, _swift("text")), _patterns("text")))
+    source = _of(_of(_of(source, _chain("text", [(r"\t{2,}", chr(9), "")])), _normal_arabic("text")), _numbers("text"))
+    source = _of(source, _chain("text", [(r"\*{5,}", "", ""), (r"\.{5,}", "...", ""), (r"-{5,}", "—", ""), (r"\n{3,}", chr(10) * 2, ""), (r"\t{2,}", chr(9), "")]))
+    filled = f"list_filter(string_split(text, chr(10)), lambda x: {_strip('x')} <> '')"
+    return _of(_of(source, f"array_to_string({filled}, chr(10))"), _strip("text"))
+
+
+def _all_scores() -> str:
+    return f"{_vote()}, a as (select doc_id, document_type, round_even(confidence, 2) as score, matches, weighted, ord from k where doc_id in (select doc_id from v where method <> 'no_match')) select doc_id, row_number() over (partition by doc_id order by -score, ord) - 1 as rank, document_type, score, matches, weighted from a"
+
+
+def _retries() -> str:
+    """Two more readings of texts cut short, each taken if the text so far is poor and it is better."""
+    base = "select doc_id, case when doc_id % 3 = 0 then left(text, 20) else text end as text from documents"
+    fresh = {1: "select doc_id, left(text, doc_id % 12 + 18) as text from documents", 2: "select doc_id, left(text, 400) as text from documents where doc_id % 2 = 0"}
+    for again in fresh.values():
+        taken = "f.text is not null and a.quality = 'poor' and (b.quality <> 'poor' or length(f.text) > 1.2::double * length(d.text))"
+        base = f"select d.doc_id, case when {taken} then f.text else d.text end as text from ({base}) d left join ({again}) f using (doc_id) left join ({_gate(base)}) a using (doc_id) left join ({_gate(again)}) b using (doc_id)"
+    return base
+
+
+def _answers() -> str:
+    column = lambda k: render.by_order([row[k] for row in render.ANSWERS], "varchar")
+    normal = _norm("said_type", True, True)
+    kind = "case " + " ".join(f"when {' or '.join(f'contains(normal, {_q(p)})' for p in ps)} then {_q(t)}" for t, ps in TYPE_PATTERNS.items()) + " else 'unknown' end"
+    return f"select doc_id, json_data, said_type, case when said_type is not null then {kind} end as document_type, case when said_type is null then null when {kind} = 'unknown' then 30.0::double else 95.0::double end as confidence from (select *, {normal} as normal from (select o_orderkey as doc_id, {column(1)} as json_data, {column(2)} as said_type from orders))"
+
+
 def queries() -> dict[str, str]:
-    out = {
+    noisy = render.noisy_sql
+    english = _in_turn("text", ENGLISH_CORRECTIONS, False)
+    runs = noisy("runs")
+    return {
         "remove_repetitions": _runs(DOCUMENTS),
         "remove_near_duplicates": _near(DOCUMENTS),
         "prefix_loops": _loops(DOCUMENTS),
+        "repetition_filters": _loops(_near(_runs(DOCUMENTS))),
         "validate_quality": _validated(DOCUMENTS),
         "quality_gate": _gate(DOCUMENTS),
         "quality_counts": f"select quality, count(*) as n from ({_validation(DOCUMENTS)}) group by quality",
         "quality_vs_label": f"select v.quality, l.quality as label, count(*) as n from ({_validation(DOCUMENTS)}) v join labels l using (doc_id) group by all",
         "clean_quality_counts": f"select a.quality as raw_quality, b.quality as clean_quality, count(*) as n from ({_validation(DOCUMENTS)}) a join ({_validation(_near(_runs(DOCUMENTS)))}) b using (doc_id) group by all",
+        "quality_retries": _retries(),
         "most_common_line": _common(DOCUMENTS),
         "char_classes": f"select doc_id, {_count('text', '[؀-ۿ]')} as arabic_chars, {_count('text', '[a-zA-Z]')} as english_chars, {_count('text', '[0-9]')} as digit_chars from documents",
-        "strip_code_garbage": f"select page_id, {_chain('html', [(p, n.replace('$1', chr(92) + '1'), f) for p, n, f in CODE])} as text from pages",
+        "strip_code_garbage": f"select page_id, {_code('html')} as text from pages",
         "keyword_scores": f"with r as ({render.rendered_sql()}) select doc_id, document_type, weighted, matches, round_even(confidence, 2) as confidence from ({_keywords()}) where weighted > 0",
         "structure_scores": f"with r as ({render.rendered_sql()}) {_structure()}",
         "classify_vote": f"{_vote()} select doc_id, document_type, name_en, round_even(confidence, 4) as confidence, method, keyword_matches from c",
+        "all_scores": _all_scores(),
         "type_report": f"{_report()} select * from p",
         "type_counts": f"{_report()} select type_en, count(*) as n, min(file_name) as first_seen from p group by type_en",
         "status_counts": f"{_report()} select count(*) filter (status = 'success') as ok, count(*) filter (status <> 'success') as failed from p",
         "line_similarity": _similarity(),
         "pick_best_line": _best_line(),
-        "strip_scripts": f"select doc_id, regexp_replace(text, {_q(f'[{FOREIGN}]+')}, '', 'g') as clean from ({render.corpus_sql('scripts')})",
-        "strip_hallucinations": f"select doc_id, {_chain('text', [('(?im)' + p, '', '') for p in MODEL_TALK])} as clean from ({render.corpus_sql('talk')})",
-        "number_formats": "select doc_id, {} as artifacts, {} as numbers from ({})".format(
-            _chain("text", [(r"(\d)O(\d)", "\\1" + "0\\2", ""), (r"O(\d{2,})", "0\\1", ""), (r"(\d)l(\d)", "\\1" + "1\\2", ""), (r"(\d)S(\d)", "\\1" + "5\\2", "")]),
-            _chain("text", [(r"(\d)\.\s+(\d{2})\b", r"\1.\2", ""), (r"(\d{1,4})\s*[-–—]\s*(\d{1,2})\s*[-–—]\s*(\d{1,4})", r"\1-\2-\3", "")]),
-            render.corpus_sql("numbers"),
-        ),
-        "repetition_corpus": f"select a.doc_id, a.runs, b.near, c.loops from ({_runs(render.corpus_sql('runs'), 'runs')}) a join ({_near(render.corpus_sql('runs'), 'near')}) b using (doc_id) join ({_loops(render.corpus_sql('runs'), 'loops')}) c using (doc_id)",
-        "normalize_variants": f"select doc_id, {_norm('text')} as plain, {_norm('text', True)} as matching, {_norm('text', True, True)} as classes, regexp_replace(replace(replace(replace(text, {_q(TATWEEL)}, ''), '،،', '،'), '؟؟', '؟'), '([؀-ۿ]),(\\s*[؀-ۿ])', '\\1،\\2', 'g') as output from ({render.corpus_sql('normal')})",
-        "date_swap": f"select doc_id, nullif(regexp_replace(text, '^(\\d{{1,2}})([/-])(\\d{{1,2}})([/-])(\\d{{2,4}})$', '\\3\\2\\1\\4\\5'), text) as swapped from ({render.corpus_sql('dates')})",
-        "file_filter": f"select doc_id, text as path, regexp_extract(text, '([^/]*)$', 1) as file_name from ({render.corpus_sql('files')}) where regexp_matches(lower(text), '[^/]\\.(jpg|jpeg|png|bmp|tiff|tif|pdf)$')",
+        "strip_scripts": f"select doc_id, {_scripts('text')} as clean from ({noisy('scripts')})",
+        "strip_hallucinations": f"select doc_id, {_talk('text')} as clean from ({noisy('talk')})",
+        "number_formats": f"select doc_id, {_artifacts('text')} as artifacts, {_numbers('text')} as numbers from ({noisy('numbers')})",
+        "repetition_corpus": f"select a.doc_id, a.runs, b.near, c.loops from ({_runs(runs, 'runs')}) a join ({_near(runs, 'near')}) b using (doc_id) join ({_loops(runs, 'loops')}) c using (doc_id)",
+        "normalize_variants": f"select doc_id, {_norm('text')} as plain, {_norm('text', True)} as matching, {_norm('text', True, True)} as classes, {_normal_arabic('text')} as output from ({noisy('normal')})",
+        "arabic_corrections": f"select doc_id, {_in_turn('text', ARABIC_CORRECTIONS, True)} as fixed from ({noisy('arabic')})",
+        "english_corrections": f"select doc_id, {english} as fixed from ({noisy('english')})",
+        "changed_characters": f"select doc_id, len(list_filter(range(1, least(length(text), length(fixed)) + 1), lambda i: a[i] <> b[i])) as n from (select doc_id, text, fixed, string_split(text, '') as a, string_split(fixed, '') as b from (select doc_id, text, {english} as fixed from ({noisy('english')})))",
+        "field_digits": f"select doc_id, text as digits from ({_digits(noisy('detached'))})",
+        "arabic_patterns": f"select doc_id, {_patterns('text')} as patterns, {_doubled('text')} as doubled, {_normal_arabic('text')} as punctuation from ({noisy('detached')})",
+        "swift_fix": f"select doc_id, {_swift('text')} as fixed from ({noisy('swift')})",
+        "clean_text": cleaned(noisy(*render.MIXED)),
+        "parse_json_response": _answers(),
+        "date_swap": f"select doc_id, nullif(regexp_replace(text, '^(\\d{{1,2}})([/-])(\\d{{1,2}})([/-])(\\d{{2,4}})$', '\\3\\2\\1\\4\\5'), text) as swapped from ({render.of_orders_sql(render.DATES)})",
+        "file_filter": f"select doc_id, text as path, regexp_extract(text, '([^/]*)$', 1) as file_name from ({render.of_orders_sql(render.PATHS)}) where regexp_matches(lower(text), '[^/]\\.(jpg|jpeg|png|bmp|tiff|tif|pdf)$')",
         "cross_validate_json": "select o_orderkey, d as invoice_date, d as due_date, null::varchar as ref from (select o_orderkey, '0' || (o_orderkey % 9 + 1) || '/1' || (o_orderkey % 3) || '/2004' as d from orders)",
     }
-    for name, corpus, rules, plain in (("arabic_corrections", "arabic", ARABIC_CORRECTIONS, True), ("english_corrections", "english", ENGLISH_CORRECTIONS, False)):
-        rows = ", ".join(f"{{'a': {_q(a)}, 'b': {_q(b)}}}" for a, b in rules)
-        step = "replace(acc.b, r.a, r.b)" if plain else "regexp_replace(acc.b, '(?i)' || regexp_escape(r.a), r.b, 'g')"
-        out[name] = f"select doc_id, list_reduce([{rows}], lambda acc, r: {{'a': '', 'b': {step}}}, {{'a': '', 'b': text}}).b as fixed from ({render.corpus_sql(corpus)})"
-    return out

@@ -24,8 +24,8 @@ def _over_documents(step: Callable[[Column], Column], name: str = "text") -> Que
     return lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", step(F.col("text")).alias(name))
 
 
-def _over_corpus(corpus: str, **steps: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf_dir: render.corpus(spark, corpus).select("doc_id", *(f(F.col("text")).alias(k) for k, f in steps.items()))
+def _over_noise(*corpora: str, **steps: Callable[[Column], Column]) -> Query:
+    return lambda spark, sf_dir: render.noisy(spark, sf_dir, *corpora).select("doc_id", *(f(F.col("text")).alias(k) for k, f in steps.items()))
 
 
 def _validated(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -120,9 +120,30 @@ def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pick_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first three lines of each document the best one."""
-    rows = _documents(spark, sf_dir).select("doc_id", F.slice(T.filled_lines(F.col("text")), 1, 3).alias("l")).where(F.size("l") > 0)
-    return rows.select("doc_id", merge.best_line(F.col("l")).alias("line"))
+    """Of each three lines in turn of every document the best one."""
+    rows = _documents(spark, sf_dir).select("doc_id", T.filled_lines(F.col("text")).alias("l")).where(F.size("l") > 0)
+    threes = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 3).cast("int")), lambda k: F.slice("l", k * 3 + 1, F.lit(3)))
+    return rows.select("doc_id", F.posexplode(threes).alias("n", "c")).select("doc_id", F.col("n").cast("long").alias("n"), merge.best_line(F.col("c")).alias("line"))
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types by keyword score for every rendered document that has a type."""
+    scored = _classified(spark, sf_dir).select("doc_id", F.posexplode("classification.all_scores").alias("rank", "s"))
+    return scored.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("s.type").alias("document_type"), F.col("s.score").alias("score"), F.col("s.matches").cast("long").alias("matches"), F.col("s.weighted").alias("weighted"))
+
+
+def quality_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document cut short, and what two more readings make of it."""
+    docs = _documents(spark, sf_dir)
+    short = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
+    again = docs.select("doc_id", F.lit(1).alias("attempt"), F.substring("text", F.lit(1), (F.col("doc_id") % 12 + 18).cast("int")).alias("text"))
+    again = again.union(docs.where("doc_id % 2 = 0").select("doc_id", F.lit(2), F.substring("text", 1, 400)))
+    return grade.with_retries(short, again)
+
+
+def changed_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.noisy(spark, sf_dir, "english").withColumn("fixed", correct.correct_english(F.col("text")))
+    return rows.select("doc_id", correct.changed_characters(F.col("text"), F.col("fixed")).cast("long").alias("n"))
 
 
 def consensus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +166,7 @@ def service_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jsonx.parsed(render.corpus(spark, "answers").withColumnRenamed("text", "raw"))
+    rows = jsonx.parsed(render.of_orders(spark, sf_dir, [raw for raw, _, _ in render.ANSWERS]).withColumnRenamed("text", "raw"))
     return rows.withColumn("f", classify.classify_field(F.col("said_type"))).select("doc_id", "json_data", "said_type", F.col("f.document_type").alias("document_type"), F.col("f.confidence").alias("confidence"))
 
 
@@ -160,27 +181,36 @@ def cross_validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.corpus(spark, "files").where(files.supported(F.col("text"))).select("doc_id", F.col("text").alias("path"), files.file_name(F.col("text")).alias("file_name"))
+    return render.of_orders(spark, sf_dir, render.PATHS).where(files.supported(F.col("text"))).select("doc_id", F.col("text").alias("path"), files.file_name(F.col("text")).alias("file_name"))
+
+
+def date_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.of_orders(spark, sf_dir, render.DATES).select("doc_id", jsonx.swap_date(F.col("text")).alias("swapped"))
 
 
 def queries() -> dict[str, Query]:
-    plain = (clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, type_report, type_counts, status_counts, line_similarity, pick_best_line, consensus_merge, full_pipeline, service_extract, parse_json_response, cross_validate_json, file_filter)
+    plain = (
+        clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, all_scores, type_report, type_counts,
+        status_counts, line_similarity, pick_best_line, quality_retries, changed_characters, consensus_merge, full_pipeline, service_extract, parse_json_response, cross_validate_json, file_filter, date_swap,
+    )
+    matching = lambda c: T.normal_form(c, hamza=True)
+    classes = lambda c: T.normal_form(c, hamza=True, tatweel=True)
     return {f.__name__: f for f in plain} | {
         "remove_repetitions": _over_documents(lines.drop_runs),
         "remove_near_duplicates": _over_documents(lines.drop_near_duplicates),
         "prefix_loops": _over_documents(lines.drop_prefix_loops),
-        "repetition_corpus": _over_corpus("runs", runs=lines.drop_runs, near=lines.drop_near_duplicates, loops=lines.drop_prefix_loops),
-        "clean_text": _over_documents(clean.clean),
-        "strip_scripts": _over_corpus("scripts", clean=clean.drop_foreign_scripts),
-        "strip_hallucinations": _over_corpus("talk", clean=clean.drop_model_talk),
-        "number_formats": _over_corpus("numbers", artifacts=correct.fix_artifacts, numbers=clean.fix_numbers),
-        "arabic_corrections": _over_corpus("arabic", fixed=correct.correct_arabic),
-        "english_corrections": _over_corpus("english", fixed=correct.correct_english),
-        "field_digits": _over_corpus("detached", digits=correct.convert_field_digits),
-        "arabic_patterns": _over_corpus("detached", patterns=correct.fix_arabic_patterns, doubled=correct.fix_doubled_letters, punctuation=clean.normalize_arabic),
-        "swift_fix": _over_corpus("swift", fixed=correct.fix_swift),
-        "normalize_variants": _over_corpus("normal", plain=T.normal_form, matching=lambda c: T.normal_form(c, hamza=True), classes=lambda c: T.normal_form(c, hamza=True, tatweel=True), output=clean.normalize_arabic),
-        "date_swap": _over_corpus("dates", swapped=jsonx.swap_date),
+        "repetition_filters": _over_documents(clean.drop_repetitions),
+        "repetition_corpus": _over_noise("runs", runs=lines.drop_runs, near=lines.drop_near_duplicates, loops=lines.drop_prefix_loops),
+        "clean_text": _over_noise(*render.MIXED, text=clean.clean),
+        "strip_scripts": _over_noise("scripts", clean=clean.drop_foreign_scripts),
+        "strip_hallucinations": _over_noise("talk", clean=clean.drop_model_talk),
+        "number_formats": _over_noise("numbers", artifacts=correct.fix_artifacts, numbers=clean.fix_numbers),
+        "arabic_corrections": _over_noise("arabic", fixed=correct.correct_arabic),
+        "english_corrections": _over_noise("english", fixed=correct.correct_english),
+        "field_digits": _over_noise("detached", digits=correct.convert_field_digits),
+        "arabic_patterns": _over_noise("detached", patterns=correct.fix_arabic_patterns, doubled=correct.fix_doubled_letters, punctuation=clean.normalize_arabic),
+        "swift_fix": _over_noise("swift", fixed=correct.fix_swift),
+        "normalize_variants": _over_noise("normal", plain=T.normal_form, matching=matching, classes=classes, output=clean.normalize_arabic),
     }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # One template for each remainder of the order's key; {n} stands for a line end. Both dialects know concat, chr and cast.
 TEMPLATES = [
@@ -79,19 +80,68 @@ CORPORA: dict[str, list[str]] = {
     "english": ["Total TOTAL Subtotal", "Transfer OFFICE", "Abu Dhabi ABU DHABI", "Suplier Ammount", "nothing wrong here", "CLEARANE clearnce", ""],
     "talk": ["As an AI model I cannot\nreal line", "Please note that\nkept", "I cannot read this\nNote: This image is bad\nkept note: x", "kept\nLet me know if\nend", "Here is the extracted text\nabc"],
     "scripts": ["abc日本語def", "текст and text", "ไทย x", "한국어", "plain", "हिन्दी mixed தமிழ்"],
-    "dates": ["06/10/2004", "6-1-99", "11/11/2011", "no date", "2004/01/02", ""],
-    "files": ["/in/a.JPG", "/in/b.pdf", "/in/c.txt", "/in/d.tar.gz", "/in/e.TiFF", "/in/noext", "/in/.png", "/in/f.jpeg"],
-    "answers": ['{"document_type": "Invoice", "date": null}', 'text ```json\n{"title": "Payment Voucher", "amounts": [1, 2]}\n``` tail', 'x {"type": {"category": "عقد"}} y', '{"a": 1,}', "[1, 2]", "no json", '{"document_type": "purchase_order"}', '{"document_type": "memorandum", "x": {"y": 1}}', ""],
     "swift": ["SWIFT CODE: SCBLASAD", "BIC ABCDASXX", "swift abcdasxx", "SCBLAD33 here", "none"],
     "detached": ["ال مبلغ", "لل مدير", "a : b ; c", "1 / 2 / 2004", "تفاصيلل", "No: ٢٣ and No: ٢٣ "],
 }
 
 
+#: Corpora whose rows all together make the noise of `mixed`.
+MIXED = ("scripts", "talk", "numbers", "arabic", "english", "swift", "detached")
+
+
 def corpus(spark: SparkSession, name: str) -> DataFrame:
     """(doc_id, text) of a small corpus."""
     return spark.createDataFrame(list(enumerate(CORPORA[name])), "doc_id long, text string")
 
 
-def corpus_sql(name: str) -> str:
-    rows = ", ".join("({}::bigint, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(CORPORA[name]))
-    return f"select * from (values {rows}) as v(doc_id, text)"
+def noisy(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """(doc_id, text): every document with a row of each of the corpora below it, chosen by doc_id."""
+    text = F.col("text")
+    for name in names:
+        values = F.array(*(F.lit(x) for x in CORPORA[name]))
+        text = F.concat(text, F.lit("\n"), F.get(values, (F.col("doc_id") % len(CORPORA[name])).cast("int")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"))
+
+
+def noisy_sql(*names: str) -> str:
+    text = "text"
+    for name in names:
+        values = ", ".join("'" + x.replace("'", "''") + "'" for x in CORPORA[name])
+        text += f" || chr(10) || ([{values}])[doc_id % {len(CORPORA[name])} + 1]"
+    return f"select doc_id, {text} as text from documents"
+
+
+#: A value for each order by the remainder of its key; {key}, {day} and {month} are of the order. Expected values beside answers: what the type field says.
+DATES = ["{day}/{month}/2004", "{day}-{month}-99", "{month}/{day}/20041", "no date", "2004/{month}/{day}", "", "{month}/{month}/2011"]
+PATHS = ["/in/{key}.JPG", "/in/{key}.pdf", "/in/{key}.txt", "/in/{key}.tar.gz", "/in/{key}.TiFF", "/in/{key}", "/in/.png", "/in/{key}.jpeg", "/in.pdf/{key}"]
+ANSWERS = [
+    ('{"document_type": "Invoice", "date": null, "no": {key}}', '{"document_type": "Invoice", "date": null, "no": {key}}', "Invoice"),
+    ('text ```json\n{"title": "Payment Voucher {key}", "amounts": [1, {key}]}\n``` tail', '{"title": "Payment Voucher {key}", "amounts": [1, {key}]}', "Payment Voucher {key}"),
+    ('x {"a": {"category": "عقد {key}"}} y', '{"a": {"category": "عقد {key}"}}', "عقد {key}"),
+    ('{"a": {key},}', '{"a": {key}}', None),
+    ("[1, {key}]", '{"raw": "[1, {key}]"}', None),
+    ("no json {key}", '{"raw_text": "no json {key}"}', None),
+    ('{"document_type": "memorandum", "x": {"y": {key}}}', '{"document_type": "memorandum", "x": {"y": {key}}}', "memorandum"),
+    ('{"type": "ab", "forms": {"form_name": ["purchase order", {key}]}}', '{"type": "ab", "forms": {"form_name": ["purchase order", {key}]}}', "purchase order"),
+]
+
+
+def by_order(values: list[str | None], string: str = "string") -> str:
+    """SQL for the value of an order, for both dialects; null where it's None."""
+    parts = {"key": f"cast(o_orderkey as {string})", "day": f"cast(o_orderkey % 28 + 1 as {string})", "month": f"cast(o_orderkey % 12 + 1 as {string})"}
+    whens = []
+    for i, v in enumerate(values):
+        sql = "null" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        for k, x in parts.items():
+            sql = sql.replace("{" + k + "}", f"' || {x} || '")
+        whens.append(f"when {i} then {sql}")
+    return f"case o_orderkey % {len(values)} {' '.join(whens)} end"
+
+
+def of_orders(spark: SparkSession, sf_dir: str, values: list[str]) -> DataFrame:
+    """(doc_id, text): a value for each order."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as doc_id", f"{by_order(values)} as text")
+
+
+def of_orders_sql(values: list[str]) -> str:
+    return f"select o_orderkey as doc_id, {by_order(values, 'varchar')} as text from orders"

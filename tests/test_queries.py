@@ -37,10 +37,6 @@ def test_query(spark, duck, name):
     assert rows(engine.queries()[name](spark, SF).toPandas()) == rows(duck.execute(engine.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(engine.queries()) - set(engine.oracle_sql()) - {"full_pipeline"}))
-def test_query_without_sql(spark, name):
-    assert engine.queries()[name](spark, SF).count() > 0
-
 
 def test_entry(spark):
     import __spark_entry__
