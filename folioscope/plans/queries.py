@@ -12,12 +12,13 @@ from folioscope.operators import classify, clean, correct, grade, jsonx, lines,
 from folioscope.plans import oracle as O
 from folioscope.plans import pipeline, render
 from folioscope.sources import files
+from folioscope.sources.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _over_documents(step: Callable[[Column], Column], name: str = "text") -> Query:
@@ -128,8 +129,9 @@ def pick_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All types by keyword score for every rendered document that has a type."""
-    scored = _classified(spark, sf_dir).select("doc_id", F.posexplode("classification.all_scores").alias("rank", "s"))
-    return scored.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("s.type").alias("document_type"), F.col("s.score").alias("score"), F.col("s.matches").cast("long").alias("matches"), F.col("s.weighted").alias("weighted"))
+    # a bare array would be asked for its size first, by a filter that classifies each document again
+    row = lambda s, i: F.struct(i.cast("long").alias("rank"), s["type"].alias("document_type"), s["score"].alias("score"), s["matches"].cast("long").alias("matches"), s["weighted"].alias("weighted"))
+    return _classified(spark, sf_dir).select("doc_id", F.inline(F.transform("classification.all_scores", row)))
 
 
 def quality_retries(spark: SparkSession, sf_dir: str) -> DataFrame:

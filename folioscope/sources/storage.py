@@ -49,3 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Inputs under so many bytes may be dealt out anew; larger ones have enough partitions of their own.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that was stored in fewer parts than there are cores (one row group, say), over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL_BYTES and df._jdf.rdd().getNumPartitions() <= cores else df
