@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.sources.storage import materialize, new_path, shared_dir, spread  # noqa: F401
+
 #: Words of every operator here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one NumPy step of an Arrow stage works on; what a task holds follows this and its longest text.
@@ -21,50 +19,9 @@ SLICE_BYTES = 4 << 20
 #: A key is hot if over one in HOT rows has it, so there are fewer than HOT hot keys, whatever the input.
 HOT = 1000
 
-_folders: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir, which all executors see.
-
-    Only where that setting is absent and the master is local (tests, a single machine) a temporary folder takes its place; a
-    cluster's executors wouldn't see it, so there the setting is asked for (ValueError).
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
-            base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-            spark.sparkContext.setCheckpointDir(base)
-        _folders[app] = f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, _folders[app])
-    return _folders[app]
-
-
-def _drop(spark: SparkSession, folder: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; the folder then goes with the cluster's clean-up of the checkpoint folder
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:

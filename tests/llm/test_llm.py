@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import common, decontaminate, language, matroska, packing, pii, quality, queries, secrets, simhash, urls, warc
 
+from tests.llm.test_brute import statistics
+from tests.llm.test_decontaminate import all_pairs
+
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names which operators use.
@@ -580,8 +583,30 @@ def test_pipeline(spark):
             assert {r.doc_id for r in out.collect()} == kept
         if name == "secrets":
             assert all(found_by_re(r.text) == "" for r in out.collect()) and out.count() == docs.count()
+        if name == "quality":
+            labels = {r.doc_id: r.quality for r in common.table(spark, SF, "labels").collect()}
+            rows = [(r.doc_id, r.text) for r in docs.collect()]
+            x = np.stack([statistics(t) for _, t in rows])
+            learned = sorted((i, k) for k, (i, _) in enumerate(rows) if i in labels and zlib.crc32(str(i).encode()) % 3 != 1)
+            score = quality.fit(x[[k for _, k in learned]], np.array([labels[i] for i, _ in learned], float)).score(x)
+            assert sorted(r.doc_id for r in out.collect()) == sorted(i for (i, _), v in zip(rows, score, strict=True) if v >= 0.5)
+        if name == "decontamination":
+            rows, items = [(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+            bad = {d for d, _ in all_pairs(rows, items)}
+            assert bad and sorted(r.doc_id for r in out.collect()) == sorted(d for d, _ in rows if d not in bad)
         if name == "packing":
-            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            from tokenizers import Tokenizer
+
+            own, got = Tokenizer.from_file(TOKENIZER), out.toPandas()
+            for r in docs.collect():
+                ids = [*own.encode(r.text or "", add_special_tokens=False).ids, 0]
+                mine = got[got.doc_id == r.doc_id].sort_values("piece")
+                assert mine.length.sum() == len(ids) and (mine.start == mine.length.cumsum() - mine.length).all() and (mine.length[1:] == 2048).all()
+                assert all(zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for p in mine.itertuples())
+            for _, g in got.groupby("sequence_id"):
+                g = g.sort_values("offset")
+                assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
+            assert len(got) == len(got.drop_duplicates(["doc_id", "piece"])) and got.sequence_id.nunique() == packing.lower_bound(got.length.to_numpy(), 2048)
         docs = out
     empty = common.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
