@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("secrets", masked), ("packing", packed)]
-#: Fingerprints, components, alignments, trained rules and tokenizers aren't SQL; tests hold the stages against brute force.
+#: Fingerprints, components, alignments, trained rules and tokenizers are no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
