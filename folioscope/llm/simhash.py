@@ -108,8 +108,9 @@ def links(fps: DataFrame, bits: int = BITS, dense: int = DENSE, block: int = BLO
     """(a, b): links between distinct fingerprints of `fps` (fp) that connect all within `bits` (3 at most)."""
     if not 0 <= bits <= 3:
         raise ValueError("the grid's one step along one half covers up to 3 bits")
-    own = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    look = own.select("fp", F.explode(_near(F.col("cell"))).alias("cell"))
+    # a plan takes exploded rows for as many as they came from, so without the hint it may broadcast them
+    own = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("cell")).hint("merge")
+    look = own.select("fp", F.explode(_near(F.col("cell"))).alias("cell")).hint("merge")
     sizes = own.groupBy("cell").agg(F.count("*").alias("n"))
     base = own.join(sizes, "cell")
     close = (_bound(F.col("fp"), F.col("other")) <= bits) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits)
