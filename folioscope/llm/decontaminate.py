@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ BLOCK_WORDS = 1 << 20
 BITMAP = 22
 #: Cells that one NumPy step of an alignment holds, and hits that one step of counting points holds.
 BATCH_CELLS, BATCH_HITS = 250_000, 2_000_000
+#: Text bytes of one step; hashing words takes about sixty times as many.
+SLICE_BYTES = 512 << 10
 FOUND = "doc_id long, item_id long, score long, similarity double, seeds long, start_word long, end_word long"
 _TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 _NAMES = [x.split()[0] for x in FOUND.split(", ")]
@@ -259,7 +262,7 @@ def _counted(rows: DataFrame, index: Index) -> np.ndarray:
         own = held.value
         total = np.zeros(len(own.seeds), np.int64)
         for batch in batches:
-            for part in common.slices(batch, 0, common.SLICE_BYTES // 2):
+            for part in common.slices(batch, 0, SLICE_BYTES):
                 h, owner, _, _ = words.word_hashes(words.lowered(common.texts_of(part.column(0))))
                 for slot, _ in own.find(h, owner):
                     total += np.bincount(slot, minlength=len(total))
@@ -294,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rare: int | None = None,
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in common.slices(batch, 0, common.SLICE_BYTES // 2):
+                for part in common.slices(batch, 0, SLICE_BYTES):
                     ids = part.column(1).to_pylist()
                     found = [(ids[t], *rest) for t, *rest in held.value.matches(common.texts_of(part.column(0)))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 7, _TYPES, strict=True)], _NAMES)
@@ -308,15 +311,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rare: int | None = None,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows whose text holds a test item. Each row is judged by its own text, so rows that share a doc_id don't fall together."""
-    at = docs.columns.index(text_col)
     for index in _indexes(docs, benchmark, None, least, text_col, block_words):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col).cast("string")))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in common.slices(batch, at, common.SLICE_BYTES // 2):
-                    bad = {t for t, *_ in held.value.matches(common.texts_of(part.column(at)))}
-                    yield part.filter(pa.array([t not in bad for t in range(part.num_rows)])) if bad else part
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _clean(held: Broadcast):
+    """A function of a text column: does the text hold no item of the block? Texts go to Python and one bit comes back; the rows stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out: list[bool] = []
+            for part in common.slices(pa.RecordBatch.from_arrays([column], ["text"]), 0, SLICE_BYTES):
+                bad = {t for t, *_ in held.value.matches(common.texts_of(part.column(0)))}
+                out += [t not in bad for t in range(part.num_rows)]
+            yield pa.array(out, pa.bool_())
+
+    return clean
