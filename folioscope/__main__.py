@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import importlib.util
 import logging
 import logging.handlers
 import os

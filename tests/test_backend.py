@@ -148,3 +148,14 @@ def test_clashing_columns(spark):
     kept = docs.withColumnsRenamed({"normal": "row", "keywords": "fresh", "classification": "id"})
     (r,) = grade.with_retries(kept, again).collect()
     assert (r.row, r.fresh, r.id, r.text[:6]) == ("n", "k", "c", "a fine")
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    from folioscope.sources import storage
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert storage.spread(rows).rdd.getNumPartitions() == 2 * cores and sorted(r.id for r in storage.spread(rows).collect()) == list(range(1000))
+    many = rows.repartition(2 * cores + 1)
+    assert storage.spread(many).rdd.getNumPartitions() == 2 * cores + 1 and storage.spread(rows.limit(0)).count() == 0
