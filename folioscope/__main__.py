@@ -17,7 +17,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope import service
+from folioscope.operators import image
 from folioscope.plans import pipeline
+from folioscope.plans.options import Options
 from folioscope.sources import files
 
 log = logging.getLogger("folioscope")
@@ -89,6 +91,7 @@ def main(arguments: list[str] | None = None) -> None:
     p.add_argument("--answers", help="prepared: (file_name, raw)")
     p.add_argument("--retries", help="prepared: (file_name, attempt, text)")
     p.add_argument("--formats", nargs="*", default=["json", "text"], choices=["json", "text"])
+    p.add_argument("--prepare", action="store_true", help="straighten, clean and size pages before models see them")
     p.add_argument("--log", help="a file for logs")
     p.add_argument("--port", type=int, default=service.PORT)
     a = p.parse_args(arguments)
@@ -107,15 +110,21 @@ def main(arguments: list[str] | None = None) -> None:
     models = pipeline.ModelBackend(backend(a.text_backend), backend(a.answer_backend))
     if a.mode not in ("prepared", "service") and (models.text is None and a.processing != "classify_only" or models.answers is None and a.processing != "ocr_only"):
         p.error(f"--processing {a.processing} needs its backends")
+    options = Options(first_page=image.first_page, light=image.prepare_light, full=image.prepare_full) if a.prepare else Options()
+
+    def found(path: str) -> DataFrame:
+        """Files as they are, or their first pages as images."""
+        return image.pages(spark, path, options.pdf_dpi).withColumnRenamed("page", "content") if a.prepare else files.scan(spark, path)
+
     began = time.time()
     if a.mode == "service":
-        service.serve(spark, models.text, port=a.port).serve_forever()
+        service.serve(spark, models.text, port=a.port, options=options).serve_forever()
     elif a.mode == "interactive":
         while (path := input("Path (or 'quit'): ").strip()).lower() not in ("quit", "exit", "q"):
             if not os.path.exists(path):
                 print(f"Not found: {path}")
                 continue
-            print(show(pipeline.run(files.scan(spark, path), models, a.processing), most=500))
+            print(show(pipeline.run(found(path), models, a.processing, options=options), most=500))
     elif a.mode == "prepared":
         read = lambda path: spark.read.parquet(path) if path else None
         passes, answers = read(a.passes), read(a.answers)
@@ -125,8 +134,7 @@ def main(arguments: list[str] | None = None) -> None:
         log.info(summary(out, time.time() - began))
         files.type_counts(files.report(out)).show(100, False)
     else:
-        found = files.scan(spark, a.input)
-        results = pipeline.run(found, models, a.processing)
+        results = pipeline.run(found(a.input), models, a.processing, options=options)
         if a.mode == "single":
             out = write_all(results, a.output, [])
             files.write_documents(files.single_form(out.where("error is null")), f"{a.output}/json")

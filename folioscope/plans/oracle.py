@@ -281,6 +281,20 @@ def _answers() -> str:
     return f"select doc_id, json_data, said_type, case when said_type is not null then {kind} end as document_type, case when said_type is null then null when {kind} = 'unknown' then 30.0::double else 95.0::double end as confidence from (select *, {normal} as normal from (select o_orderkey as doc_id, {column(1)} as json_data, {column(2)} as said_type from orders))"
 
 
+def _pages() -> str:
+    """Texts as pages of 64 pixels a row, each pixel with its neighbours."""
+    near = ", ".join(f"{'lag' if by > 0 else 'lead'}(v, {abs(by)}) over o as n{k}" for k, by in enumerate((1, -1, 63, 64, 65, -63, -64, -65)))
+    blurred = f"case when i // 64 between 1 and h - 2 and i % 64 between 1 and 62 then (2 * (5 * v + {' + '.join(f'n{k}' for k in range(8))}) + 13) // 26 else v end"
+    return f"""with a as (select doc_id, regexp_extract_all(hex(encode(text)), '..') as x from documents where text is not null),
+        b as (select doc_id, x, greatest((len(x) + 63) // 64, 1) as h from a),
+        c as (select doc_id, h, unnest(list_concat(x, list_transform(range(h * 64 - len(x)), lambda k: 'FF'))) as s, unnest(range(h * 64)) as i from b),
+        d as (select doc_id, h, i, ('0x' || s)::int as v from c),
+        e as (select *, {near} from d window o as (partition by doc_id order by i)),
+        f as (select *, {blurred} as m from e),
+        g as (select doc_id, any_value(h)::bigint as height, sum(floor(greatest(0, least(255, m + 1.5 * (v - m)))))::bigint as sharp, sum(case when i % 64 = 0 then v else greatest(v, n0) end)::bigint as thick from f group by doc_id)
+        select doc_id, height, sharp, thick from documents left join g using (doc_id)"""
+
+
 def queries() -> dict[str, str]:
     noisy = render.noisy_sql
     english = _in_turn("text", ENGLISH_CORRECTIONS, False)
@@ -321,6 +335,7 @@ def queries() -> dict[str, str]:
         "swift_fix": f"select doc_id, {_swift('text')} as fixed from ({noisy('swift')})",
         "clean_text": cleaned(noisy(*render.MIXED)),
         "parse_json_response": _answers(),
+        "page_steps": _pages(),
         "date_swap": f"select doc_id, nullif(regexp_replace(text, '^(\\d{{1,2}})([/-])(\\d{{1,2}})([/-])(\\d{{2,4}})$', '\\3\\2\\1\\4\\5'), text) as swapped from ({render.of_orders_sql(render.DATES)})",
         "file_filter": f"select doc_id, text as path, regexp_extract(text, '([^/]*)$', 1) as file_name from ({render.of_orders_sql(render.PATHS)}) where regexp_matches(lower(text), '[^/]\\.(jpg|jpeg|png|bmp|tiff|tif|pdf)$')",
         "cross_validate_json": "select o_orderkey, d as invoice_date, d as due_date, null::varchar as ref from (select o_orderkey, '0' || (o_orderkey % 9 + 1) || '/1' || (o_orderkey % 3) || '/2004' as d from orders)",

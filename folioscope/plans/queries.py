@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import pixels
 from folioscope.functions import text as T
-from folioscope.operators import classify, clean, correct, grade, jsonx, lines, merge
+from folioscope.operators import classify, clean, correct, grade, image, jsonx, lines, merge
 from folioscope.plans import oracle as O
 from folioscope.plans import pipeline, render
 from folioscope.sources import files
@@ -190,10 +193,38 @@ def date_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.of_orders(spark, sf_dir, render.DATES).select("doc_id", jsonx.swap_date(F.col("text")).alias("swapped"))
 
 
+def _as_page(texts: pd.Series) -> pd.Series:
+    """Texts as grey pages, 64 bytes of UTF-8 a row, white after the end and at least one row."""
+
+    def page(text: str | None) -> bytes | None:
+        if text is None:
+            return None
+        raw = np.frombuffer(text.encode(), np.uint8)
+        out = np.full(max(-(-len(raw) // 64), 1) * 64, 255, np.uint8)
+        out[: len(raw)] = raw
+        return pixels.encode(out.reshape(-1, 64))
+
+    return pd.Series([page(t) for t in texts], dtype=object)
+
+
+def _measured(contents: pd.Series) -> pd.DataFrame:
+    found = [None if c is None else pixels.decode(c) for c in contents]
+    return pd.DataFrame({"height": pd.array([None if p is None else len(p) for p in found], "Int32"), "total": pd.array([None if p is None else int(p.sum()) for p in found], "Int64")})
+
+
+def page_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as pages: rows, and the sums of their pixels when sharpened and when made thicker."""
+    as_page, measured = F.pandas_udf(_as_page, "binary"), F.pandas_udf(_measured, "height int, total long")
+    rows = _documents(spark, sf_dir).select("doc_id", as_page("text").alias("page"))
+    steps = {"sharp": image.sharpen, "thick": lambda page: pixels.dilate(page, 2, 1)}
+    rows = rows.select("doc_id", *(measured(image.on_pages(step)("page")).alias(name) for name, step in steps.items()))
+    return rows.select("doc_id", F.col("sharp.height").cast("long").alias("height"), F.col("sharp.total").alias("sharp"), F.col("thick.total").alias("thick"))
+
+
 def queries() -> dict[str, Query]:
     plain = (
         clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, all_scores, type_report, type_counts,
-        status_counts, line_similarity, pick_best_line, quality_retries, changed_characters, consensus_merge, full_pipeline, service_extract, parse_json_response, cross_validate_json, file_filter, date_swap,
+        status_counts, line_similarity, pick_best_line, quality_retries, changed_characters, consensus_merge, full_pipeline, service_extract, parse_json_response, cross_validate_json, file_filter, date_swap, page_steps,
     )
     matching = lambda c: T.normal_form(c, hamza=True)
     classes = lambda c: T.normal_form(c, hamza=True, tatweel=True)
