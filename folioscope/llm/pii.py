@@ -3,7 +3,8 @@
 Values that pass their kind's check are replaced by another valid value of the same format, by a permutation of all
 values of that format under the key: equal values get equal pseudonyms in every document, different ones different pseudonyms.
 
-    email   letters and digits of the local part, each class as one value of any length; dots and the domain stay
+    email   letters and digits of the local part, each class as one value of any length; dots and the domain stay. Labels are
+            names' labels: of 63 characters at most and 127 of them, else what follows the @ is no domain
     iban    digits of the account part; letters stay, check digits are computed anew (mod 97)
     ip      IPv4 addresses, as 2 x 16 bits
     date    calendar dates of 1900 to 2099: year first, or day and month first (`day_first`; a date that is valid only in
@@ -15,7 +16,8 @@ values of that format under the key: equal values get equal pseudonyms in every
 
 A permutation may leave a value as it is (about once in as many values as the format has). A number that fails its
 check stays. Null texts stay null; empty texts, repeated rows and columns of other names pass unchanged. Every row is
-worked on by itself, without a shuffle. Time is in proportion to a value's length but for a sort of its characters. The key has no default: who knows it can undo the pseudonyms.
+worked on by itself, without a shuffle. Time is in proportion to a value's length but for a sort of its characters, and no
+pattern repeats a group without a bound, as the matcher's stack grows with each turn of a group. The key has no default: who knows it can undo the pseudonyms.
 It is a literal of the plan (and of the event log), so pass one that is derived for the job.
 """
 
@@ -36,7 +38,7 @@ DAY_RADIX = (319, 229)
 _EDGE, _END = r"(?<![\w.+-])", r"(?![\w])"
 #: Alternatives in order of precedence; each is also matched alone to tell a match's kind.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,}",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "date": _EDGE + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})" + _END,
