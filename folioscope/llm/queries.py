@@ -8,7 +8,7 @@ from secrets import token_hex
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, matroska, packing, pii, quality, secrets, simhash, urls, warc
+from . import decontaminate, language, lloyd, matroska, packing, pii, quality, secrets, simhash, urls, warc
 from .common import table
 
 
@@ -67,9 +67,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op7_urls, op8_language, op9_matroska, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op7_urls, op8_language, op9_matroska, op10_decontaminate, op11_dual_tree, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle(), "op3_warc": warc.oracle()}
+    return {"op2_secrets": secrets.oracle(), "op3_warc": warc.oracle(), "op11_dual_tree": lloyd.oracle()}
