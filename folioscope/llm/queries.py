@@ -8,7 +8,7 @@ from secrets import token_hex
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lloyd, matroska, packing, pii, quality, secrets, simhash, urls, variants, warc
+from . import decontaminate, language, lloyd, matroska, ngramjoin, packing, pii, quality, secrets, simhash, urls, variants, warc
 from .common import table
 
 
@@ -71,13 +71,17 @@ def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op7_urls, op8_language, op9_matroska, op10_decontaminate, op11_dual_tree, op13_trie_variants, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_warc, op4_quality, op5_packing, op6_simhash, op7_urls, op8_language, op9_matroska, op10_decontaminate, op11_dual_tree, op12_grouped_prefix, op13_trie_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle(), "op3_warc": warc.oracle(), "op11_dual_tree": lloyd.oracle()}
+    return {"op2_secrets": secrets.oracle(), "op3_warc": warc.oracle(), "op11_dual_tree": lloyd.oracle(), "op12_grouped_prefix": ngramjoin.oracle()}

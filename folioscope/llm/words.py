@@ -15,6 +15,11 @@ _NORM[48:58] = np.arange(48, 58)
 _NORM[97:123] = np.arange(97, 123)
 _NORM[65:91] = np.arange(97, 123)
 _NORM[128:] = np.arange(128, 256)
+#: Words between ASCII white space; what white space leaves free stands for the byte 0.
+BETWEEN_SPACES = np.arange(256, dtype=np.uint8)
+BETWEEN_SPACES[65:91] = np.arange(97, 123)
+BETWEEN_SPACES[0] = 0x20
+BETWEEN_SPACES[[9, 10, 11, 12, 13, 0x20]] = 0
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -32,10 +37,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, start byte, end byte) of each word; places are within b"\\n".join(texts) plus a newline at its front."""
+def word_hashes(texts: list[bytes], norm: np.ndarray = _NORM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, start byte, end byte) of each word; places are within b"\\n".join(texts) plus a newline at its front. norm: what stands for each byte, 0 between words."""
     data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-    norm = _NORM[data]
+    norm = norm[data]
     inside = (norm > 0).view(np.int8)
     edges = np.diff(inside)
     starts, ends = np.nonzero(edges == 1)[0] + 1, np.nonzero(edges == -1)[0] + 1
