@@ -6,8 +6,8 @@ prefix and size are one group, so postings hold each prefix once. Two groups are
 prefixes share enough: more than `need` less what can follow the shorter reach. Pairs of groups are expanded to pairs of nodes and verified on whole sets.
 
 Only components are asked for, so links are sought in two steps, and no group of near copies gives all its pairs. First each posting's groups are paired with the
-posting's smallest group, and a group's nodes with its smallest; what verifies is linked. Then postings that hold more than one component give every pair of groups of
-different components, whatever was tried before, by the exact bound. A pair that is never tried lies within one component, so no component is lost.
+posting's group that shares most with others (of copies with edits of their own that is the one with fewest), and a group's nodes with its smallest; what verifies is linked. Then postings that hold more than one component give every pair of groups of
+different components, whatever was tried before, by the exact bound; a group that shares too little with all others together is left out of them. A pair that is never tried lies within one component, so no component is lost.
 
 Shingles are 64-bit hashes: two different ones of one pair of documents are taken as equal about once in 10**13 pairs of a thousand shingles. A node is named by a hash
 of its set. The table of counts and the marks of verified nodes have fixed sizes (4 MB, 1 MB), whatever the input; they only order and pre-select, so results don't depend on them.
@@ -151,11 +151,13 @@ def _enough(a: Column, b: Column, shared: Column, percent: int) -> Column:
 
 
 def postings(groups: DataFrame) -> DataFrame:
-    """(gram, grp, size) of the shingles that are in more than one group's prefix."""
+    """(gram, grp, size, held, weight) of the shingles that are in more than one group's prefix; held: how many of those the group has, weight: in how many prefixes they are, added up."""
     every = groups.select(F.explode("prefix").alias("gram"), "grp", "size")
-    shared = common.materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "ngrams-shared")
+    shared = common.materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("uses", F.col("n")), "ngrams-shared")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    return common.materialize(common.lookup(every, shared, ["gram"], total), "ngrams-postings")
+    post = common.materialize(common.lookup(every, shared, ["gram"], total), "ngrams-postings")
+    of = post.groupBy("grp").agg(F.count("*").alias("held"), F.sum("uses").alias("weight"))
+    return common.materialize(post.drop("uses").join(of, "grp"), "ngrams-weighed")
 
 
 def verified(rows: DataFrame, pairs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -198,8 +200,8 @@ def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int =
     nodes = common.materialize(prefixes(rows, counts, n, percent), "ngrams-nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     post = postings(groups)
-    # first: each group against the smallest of its posting, and a group's nodes against its smallest
-    heads = post.groupBy("gram").agg(F.min(F.struct("grp", "size")).alias("h"), F.count("*").alias("n")).select("gram", F.col("h.grp").alias("head"), F.col("h.size").alias("hs"), "n")
+    # first: each group against the one of its posting that shares most, and a group's nodes against its smallest
+    heads = post.groupBy("gram").agg(F.max(F.struct("weight", "grp", "size")).alias("h"), F.count("*").alias("n")).select("gram", F.col("h.grp").alias("head"), F.col("h.size").alias("hs"), "n")
     total = post.count()
     met = common.lookup(post, heads, ["gram"], total).where("grp <> head").groupBy("head", "grp").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("hs").alias("hs"))
     met = met.where(_enough(F.col("size"), F.col("hs"), F.col("shared") * 2, percent)).select("head", "grp")
@@ -214,13 +216,14 @@ def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int =
     # a group in several components gets a name of its own
     of = common.materialize(of.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("grp")).alias("place"), (F.col("low") != F.col("high")).alias("split")), "ngrams-places")
     post = post.join(of, "grp")
-    mixed = post.groupBy("gram").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.min(F.struct("grp", "place")).alias("h"), F.count("*").alias("n")).where("p <> q").select("gram", F.col("h.place").alias("main"), "n")
+    mixed = post.groupBy("gram").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.max(F.struct("weight", "grp", "place")).alias("h"), F.count("*").alias("n")).where("p <> q").select("gram", F.col("h.place").alias("main"), "n")
     mixed = common.materialize(mixed, "ngrams-mixed")
     post = common.materialize(common.lookup(post, mixed, ["gram"], total), "ngrams-mixed-postings")
-    left = post.where("place <> main").select("gram", F.col("grp").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"))
-    right = post.select("gram", F.col("grp").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"), "main")
+    left = post.where("place <> main").select("gram", F.col("grp").alias("x"), F.col("size").alias("sx"), F.col("held").alias("hx"), F.col("place").alias("px"))
+    right = post.select("gram", F.col("grp").alias("y"), F.col("size").alias("sy"), F.col("held").alias("hy"), F.col("place").alias("py"), "main")
     one = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
-    fits = F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent
+    # two groups share no more than either shares with anyone
+    fits = _enough(F.col("sx"), F.col("sy"), F.least("hx", "hy"), percent)
     met = left.hint("merge").join(right.hint("merge"), "gram").where((F.col("px") != F.col("py")) & one & fits)
     met = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("shared"), F.first(F.struct("sx", "sy")).alias("s"))
     met = met.where(_enough(F.col("s.sx"), F.col("s.sy"), F.col("shared"), percent)).select("x", "y")
