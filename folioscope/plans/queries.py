@@ -86,8 +86,8 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = render.rendered(spark, sf_dir).withColumn("normal", T.normal_form(F.col("text"), hamza=True, tatweel=True))
-    points = classify.structure_points(F.col("normal"), T.filled_lines(F.col("text")))
-    return rows.select("doc_id", *(c.cast("long").alias(k) for k, c in points.items()))
+    rows = rows.select("doc_id", classify.structure_facts(F.col("normal"), T.filled_lines(F.col("text"))).alias("facts"))
+    return rows.select("doc_id", *(c.cast("long").alias(k) for k, c in classify.structure_points(F.col("facts")).items()))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
