@@ -41,7 +41,7 @@ def count(text: Column, pattern: str, flags: str = "") -> Column:
 
 
 def strip(text: Column) -> Column:
-    return sub(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return sub(text, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++\\z", "")
 
 
 def squeeze(text: Column) -> Column:

@@ -170,3 +170,32 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
 
 def test_rendered_texts_cover_the_types(spark):
     assert len(render.TEMPLATES) == 8 and set(render.CORPORA)
+
+
+HOSTILE = {
+    "blanks": "x" + " " * 200_000 + "y", "lines": "x" + "\n \t" * 60_000 + "y", "colons": "a :" * 60_000, "tags": "<div>" * 40_000, "open tags": "<div " * 40_000 + ">", "mixed tags": "<div <span" * 20_000 + "</div>",
+    "brackets": "[" * 100_000, "closed brackets": "[" * 100_000 + "] x", "links": "[a](" * 40_000, "closed links": "[a](" * 40_000 + ")", "calls": "console.log(" * 20_000, "functions": "function f(" * 20_000, "stars": "*" * 200_000, "dots": ". " * 100_000,
+    "digits": "1 " * 100_000, "dashes": "1 - " * 60_000, "article": "ال " * 60_000, "arabic": "ا" * 200_000, "swift": "SWIFT CODE: " * 20_000, "fields": "No. " * 50_000, "slashes": "1 / " * 60_000,
+}
+
+
+def test_hostile_texts_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from folioscope.functions.text import normal_form, squeeze
+    from folioscope.operators import clean, correct
+
+    steps = (squeeze, lambda t: normal_form(t, hamza=True), correct.fix_arabic_patterns, clean.drop_code, clean.drop_model_talk, clean.fix_numbers, clean.tidy, correct.fix_artifacts, correct.fix_doubled_letters, correct.fix_swift)
+    for name, text in HOSTILE.items():
+        began = time.time()
+        spark.createDataFrame([("short",), (text,)], "t string").coalesce(1).select(*(f(F.col("t")).alias(f"c{k}") for k, f in enumerate(steps))).collect()
+        assert time.time() - began < 12, name  # ten steps; a plan alone takes about one second
+
+
+def test_code_without_ends_stays(one):
+    from folioscope.operators.clean import drop_code
+
+    texts = ["a <div>b</div> c <div>d", "<div <span>x</span> <b", "[a] [b](c) [d](e", "[[x](y) [](z) [q]()", "console.log(1) console.log(2\nwindow.x(3)", "var f(a) { b } let g(", "see http://x.y z [a\nb](c)"]
+    assert one(drop_code, *texts) == ["a  c <div>d", " <b", "[a] b [d](e", "[x [](z) [q]()", " console.log(2\n", " let g(", "see  z a\nb"]
