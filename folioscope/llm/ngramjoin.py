@@ -73,8 +73,10 @@ def need(n: int | np.ndarray, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, text_hash): what the steps below read."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -82,11 +84,11 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 
 def measured(rows: DataFrame, n: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, size, node) of every row, and how many shingles of all rows are in each bucket."""
+    """(doc_id, text_hash, size, node) of every row, and how many shingles of all rows are in each bucket."""
     assert BUCKETS == 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_ = ["doc_id", "size", "node", "chunk", "counts"]
+        names_ = ["doc_id", "text_hash", "size", "node", "chunk", "counts"]
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in common.slices(batch, 1, STEP):
@@ -94,13 +96,13 @@ def measured(rows: DataFrame, n: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(_bucket(grams), minlength=BUCKETS)
                 size = np.bincount(owners, minlength=part.num_rows)
                 none = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(names(grams, size)), *none], names_)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size), pa.array(names(grams, size)), *none], names_)
         chunks = counts.reshape(CHUNKS, -1)
         held = [k for k in range(CHUNKS) if chunks[k].any()]
         none = pa.nulls(len(held), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(held, pa.int32()), pa.array([chunks[k].tobytes() for k in held], pa.binary())], names_)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(held, pa.int32()), pa.array([chunks[k].tobytes() for k in held], pa.binary())], names_)
 
-    found = common.materialize(rows.mapInArrow(run, "doc_id long, size long, node long, chunk int, counts binary"), "ngrams")
+    found = common.materialize(rows.mapInArrow(run, "doc_id long, text_hash long, size long, node long, chunk int, counts binary"), "ngrams")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -113,7 +115,7 @@ def measured(rows: DataFrame, n: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
     counts = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
     for r in found.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():  # CHUNKS rows
         counts[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return found.where("chunk is null").select("doc_id", "size", "node"), counts.ravel()
+    return found.where("chunk is null").select("doc_id", "text_hash", "size", "node"), counts.ravel()
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -240,7 +242,7 @@ def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int =
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
-    rows = _rows(docs, id_col, text_col)
+    rows = documents(docs, id_col, text_col)
     every, counts = measured(rows, n)
     found = common.materialize(common.connected_components(links(rows, counts, n, percent)), "ngrams-roots")
     least = common.materialize(every.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "ngrams-least")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, ngramjoin
 
 BITS = 3
 SHINGLE = 3
@@ -130,11 +130,29 @@ def links(fps: DataFrame, bits: int = BITS, dense: int = DENSE, block: int = BLO
     return sparse.union(thick)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(doc_id, text_hash, fp, root: the component's number, component_id) for every row."""
-    rows = common.materialize(fingerprints(docs, id_col, text_col), "simhash")
+def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(a, b): links between fingerprints of texts whose sets of n-word shingles are alike to `percent`; a set is named by its smallest fingerprint."""
+    texts = ngramjoin.documents(docs, id_col, text_col)
+    every, counts = ngramjoin.measured(texts, n)
+    named = rows.select("text_hash", "fp").distinct().join(every.where("size > 0").select("text_hash", "node").distinct(), "text_hash").select("fp", "node").distinct()
+    named = common.materialize(named, "simhash-sets")
+    name = common.materialize(named.groupBy("node").agg(F.min("fp").alias("name")), "simhash-names")
+    of = lambda c: name.select(F.col("node").alias(c), F.col("name").alias(f"name_{c}"))
+    linked = ngramjoin.links(texts, counts, n, percent).join(of("a"), "a").join(of("b"), "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    return linked.union(named.join(name, "node").where("fp <> name").select(F.col("fp").alias("a"), F.col("name").alias("b")))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, n: int = SHINGLE, percent: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, root: the component's number, component_id) for every row.
+
+    Fingerprints of n-word shingles link at `bits`, which short texts hardly reach. With `percent` texts also link, exactly, whose sets of shingles are alike to that.
+    """
+    rows = common.materialize(fingerprints(docs, id_col, text_col, n), "simhash")
     least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-least")
-    found = common.materialize(common.connected_components(links(least.select("fp"), bits)), "simhash-components")
+    every = links(least.select("fp"), bits)
+    if percent is not None:
+        every = every.union(similar(docs, rows, id_col, text_col, n, percent))
+    found = common.materialize(common.connected_components(every), "simhash-components")
     # only linked fingerprints are looked up; the others stand for themselves
     tied = least.join(found, least.fp == found.node).select("fp", "least", "root")
     tops = tied.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("n"))
@@ -149,13 +167,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, n: int = SHINGLE, percent: int | None = None) -> DataFrame:
     """One row of each component: of the rows with its smallest doc_id that of least text hash.
 
     Components are of texts, so rows of one doc_id whose texts aren't near each other all stay. A row with a null doc_id stays.
     """
     of = F.struct("doc_id", "text_hash")
-    kept = components(docs, id_col, text_col, bits).where("doc_id is not null").groupBy("root").agg(F.min(of).alias("k"))
+    kept = components(docs, id_col, text_col, bits, n, percent).where("doc_id is not null").groupBy("root").agg(F.min(of).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
     names, row = docs.columns, F.struct(*(F.col(c) for c in docs.columns)).alias("row")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_kept_id"), _text_hash(F.col(text_col).cast("string")).alias("_kept_hash"), row)

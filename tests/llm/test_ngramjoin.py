@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import ngramjoin
+from folioscope.llm import ngramjoin, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -91,3 +91,44 @@ def test_sets_of_hostile_texts():
 def test_none(spark):
     assert ngramjoin.link_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     check(spark, [(1, None), (2, "")])
+
+
+def fingerprint(text):
+    return simhash.fingerprint((text or "").encode(), 5)
+
+
+def copies(rows):
+    """For each row the number of its group: linked by 3 bits of fingerprints, or by 80 of 100 shingles of five words."""
+    made, fps, root = [shingles(t, 5) for _, t in rows], [fingerprint(t) for _, t in rows], list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = made[i] and made[j] and 100 * len(made[i] & made[j]) >= 80 * len(made[i] | made[j])
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 3:
+                root[top(i)] = top(j)
+    return [top(k) for k in range(len(rows))]
+
+
+def test_simhash_and_similar_texts_together(spark):
+    rng = random.Random(21)
+    known = [f"w{k}" for k in range(900)]
+    base = [rng.choices(known, k=rng.choice([1, 3, 6, 30, 120, 160])) for _ in range(25)]
+    rows = [(k, " ".join(edited(rng, base[k % 25], known, rng.randrange(4)))) for k in range(200)] + [(300, None), (301, ""), (302, rows_text := " ".join(base[4])), (303, rows_text), (303, "same id, other text here"), (None, rows_text)]
+    top = copies(rows)
+    # of each group the smallest id stays, and a row without an id
+    groups = {}
+    for k, (d, t) in enumerate(rows):
+        groups.setdefault(top[k], set()).add((d is None, d, t))
+    want = [(None, rows_text)]
+    for g in groups.values():
+        if ids := [d for none, d, _ in g if not none]:
+            want.append((min(ids), None))
+    kept = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3), n=5, percent=80).collect()
+    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == sorted(d for d, _ in want if d is not None) and len(kept) == len(want)
+    caught = sum(len({d for _, d, _ in g if d is not None}) - 1 for g in groups.values() if any(d is not None for _, d, _ in g))
+    assert caught > 50  # by either way
