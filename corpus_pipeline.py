@@ -21,8 +21,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
-    return simhash.deduplicate(docs)
+    """One document, that of the smallest doc_id, of each group of near duplicates: fingerprints of five words at 3 bits, or 80 of 100 shingles alike."""
+    return simhash.deduplicate(docs, n=5, percent=80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
