@@ -143,21 +143,32 @@ def _report() -> str:
     return f"{_vote()}, q as ({quality}), t as (select r.file_name, r.doc_id % 97 <> 0 as ok, c.*, q.quality from r join c using (doc_id) join q using (doc_id)), p as (select file_name, case when ok then 'success' else 'error' end as status, case when ok then document_type else 'error' end as document_type, case when ok then name_en else 'Error' end as type_en, case when ok then round_even(confidence, 4) else 0.0::double end as confidence, case when ok then method else '' end as method, 0.0::double as processing_time, case when ok then quality else 'error' end as quality from t)"
 
 
+def _pairs(x: str) -> str:
+    return f"case when length({x}) >= 2 then list_distinct(list_transform(range(1, length({x})), lambda i: substring({x}, i, 2))) else [{x}] end"
+
+
+def _words(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+
+
+def _like(a: str, b: str) -> str:
+    """Similarity of two lines, each a row with normal form x, pairs g and words w."""
+    common = lambda c: f"len(list_intersect({a}.{c}, {b}.{c}))"
+    dice = f"2.0::double * {common('g')} / (len({a}.g) + len({b}.g))"
+    union = f"len(list_distinct(list_concat({a}.w, {b}.w)))"
+    jaccard = f"case when {union} > 0 then {common('w')}::double / {union} else 0.0::double end"
+    lengths = f"least(length({a}.x), length({b}.x))::double / greatest(length({a}.x), length({b}.x), 1)"
+    return f"case when {a}.x = '' or {b}.x = '' then 0.0::double else 0.35::double * ({dice}) + 0.45::double * ({jaccard}) + 0.20::double * ({lengths}) end"
+
+
 def _similarity() -> str:
     """Similarity of each line's normal form to the next one's."""
-    pairs = lambda x: f"case when length({x}) >= 2 then list_distinct(list_transform(range(1, length({x})), lambda i: substring({x}, i, 2))) else [{x}] end"
-    words = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
-    both = f"select doc_id, n, a, b, {pairs('a')} as ga, {pairs('b')} as gb, {words('a')} as wa, {words('b')} as wb from f where b is not null"
-    common = lambda x, y: f"len(list_intersect({x}, {y}))"
-    dice = f"2.0::double * {common('ga', 'gb')} / (len(ga) + len(gb))"
-    union = "len(list_distinct(list_concat(wa, wb)))"
-    jaccard = f"case when {union} > 0 then {common('wa', 'wb')}::double / {union} else 0.0::double end"
-    value = f"case when a = '' or b = '' then 0.0::double else 0.35::double * ({dice}) + 0.45::double * ({jaccard}) + 0.20::double * (least(length(a), length(b))::double / greatest(length(a), length(b), 1)) end"
-    return f"with f as (select doc_id, row_number() over w - 1 as n, x as a, lead(x) over w as b from (select doc_id, n, {_norm('s', True)} as x from ({_lines(DOCUMENTS)}) where s <> '') window w as (partition by doc_id order by n)) select doc_id, n::bigint as n, round_even({value}, 6) as similarity from ({both})"
+    lines = f"select doc_id, row_number() over (partition by doc_id order by n) - 1 as n, x, {_pairs('x')} as g, {_words('x')} as w from (select doc_id, n, {_norm('s', True)} as x from ({_lines(DOCUMENTS)}) where s <> '')"
+    return f"with f as ({lines}) select a.doc_id, a.n::bigint as n, round_even({_like('a', 'b')}, 6) as similarity from f a join f b on a.doc_id = b.doc_id and b.n = a.n + 1"
 
 
-def _best_line() -> str:
-    """Of each three lines in turn the best one."""
+def _line_score() -> str:
+    """Score of a stripped line s among candidates of which the longest has `longest` characters."""
     score = "least(length(s), 200) * 0.3::double"
     for points, pattern, _ in COUNTED[:5]:
         score += f" + {points}::double * {_count('s', pattern)}"
@@ -170,9 +181,57 @@ def _best_line() -> str:
     for points, pattern, f in PRESENT[3:]:
         score += f" + case when regexp_matches(s, {_q(flag(f) + pattern)}) then {points}::double else 0.0::double end"
     ar, en = _count("s", "[؀-ۿ]"), _count("s", "[a-zA-Z]")
-    score += f" + case when {ar} > 0 and {en} > 0 and least({ar}, {en}) > 0.1::double * greatest({ar}, {en}) then 2.0::double else 0.0::double end"
+    return score + f" + case when {ar} > 0 and {en} > 0 and least({ar}, {en}) > 0.1::double * greatest({ar}, {en}) then 2.0::double else 0.0::double end"
+
+
+def _best_line() -> str:
+    """Of each three lines in turn the best one."""
     threes = f"select *, max(length(s)) over (partition by doc_id, g) as longest from (select doc_id, s, (k - 1) // 3 as g, k from (select doc_id, s, row_number() over (partition by doc_id order by n) as k from ({_lines(DOCUMENTS)}) where s <> ''))"
-    return f"select doc_id, g::bigint as n, arg_max(s, (score, -k)) as line from (select *, {score} as score from ({threes})) group by doc_id, g"
+    return f"select doc_id, g::bigint as n, arg_max(s, (score, -k)) as line from (select *, {_line_score()} as score from ({threes})) group by doc_id, g"
+
+
+def merged(source: str) -> str:
+    """Consensus (doc_id, text) of the three readings that render.passes derives of (doc_id, text).
+
+    A recursion walks the lines of the longest reading and carries, for each other reading, the line after the last one taken; of the three candidates
+    that a line then has at most, groups follow from their three similarities.
+    """
+    readings = f"select doc_id, unnest([text, replace(text, 'th', 'tn'), regexp_replace(replace(text, 'on', 'an'), '^[^\\n]*\\n', '')]) as text, unnest([0, 1, 2]) as p from (select doc_id, coalesce(text, '') as text from ({source}))"
+    numbered = _lines(f"select doc_id || '/' || p as doc_id, text from ({readings})")
+    lines = f"select split_part(doc_id, '/', 1) as d, split_part(doc_id, '/', 2)::int as p, row_number() over (partition by doc_id order by n) as k, line, s, {_norm('s', True)} as x from ({numbered}) where s <> ''"
+    sim = lambda a, b: f"coalesce({_like(a, b)}, 0.0::double)"
+    longest = "max(length(s)) filter (chosen) over (partition by d, i)"
+    return f"""
+    with recursive l as materialized (select *, {_pairs('x')} as g, {_words('x')} as w from ({lines})),
+    base as materialized (select d, arg_max(p, (n, -p)) as p from (select d, p, count(*) as n from l group by d, p) group by d),
+    b as materialized (select l.* from l join base using (d, p)),
+    o as (select l.* from l join base on l.d = base.d and l.p <> base.p),
+    sims as materialized (select b.d, o.p, b.k as i, list({_like('b', 'o')} order by o.k) as v from b join o on b.d = o.d group by b.d, o.p, b.k),
+    walk(d, p, i, free, took) as (
+      select d, p, 0::bigint, 1::bigint, null::bigint from (select distinct d, p from sims)
+      union all
+      select d, p, i, case when best > 0.3 then spot + 1 else free end, case when best > 0.3 then spot end
+      from (select d, p, i, free, best, free + list_position(v[free:], best) - 1 as spot from (select walk.d, walk.p, sims.i, walk.free, sims.v, list_max(sims.v[walk.free:]) as best from walk join sims on sims.d = walk.d and sims.p = walk.p and sims.i = walk.i + 1))),
+    c as materialized (select d, i, row_number() over (partition by d, i order by p) as r, line, s, x, g, w from (
+      select d, p, k as i, line, s, x, g, w from b union all select l.d, l.p, walk.i, l.line, l.s, l.x, l.g, l.w from walk join l on l.d = walk.d and l.p = walk.p and l.k = walk.took)),
+    m as (select a.d, a.i, case when b.r is null then null when {sim('a', 'b')} > 0.6 then 1 else 2 end as g2, case when c3.r is null then null when {sim('a', 'c3')} > 0.6 then 1 when not {sim('a', 'b')} > 0.6 and {sim('b', 'c3')} > 0.6 then 2 else 3 end as g3
+      from (select * from c where r = 1) a left join (select * from c where r = 2) b using (d, i) left join (select * from c where r = 3) c3 using (d, i)),
+    h as (select c.*, case r when 1 then 1 when 2 then g2 else g3 end as grp from c join m using (d, i)),
+    z as (select *, count(*) over (partition by d, i, grp) as many, count(*) over (partition by d, i) as every from h),
+    q as (select *, max(many) over (partition by d, i) as most, min(grp) filter (many > 1) over (partition by d, i) as lead from z),
+    e as (select *, most = 1 or grp = lead as chosen from q),
+    f as (select *, {longest} as longest, count(*) filter (chosen) over (partition by d, i) as pool from e),
+    t as (select d, i, arg_max(line, (score, -r)) as line from (select *, {_line_score()} as score from f where chosen) group by d, i)
+    select s.doc_id, coalesce(string_agg(t.line, chr(10) order by t.i), '') as text from ({source}) s left join t on t.d = s.doc_id::varchar group by s.doc_id"""
+
+
+def _service() -> str:
+    """Merged and cleaned documents with the grade of what is left."""
+    merge = merged(DOCUMENTS)
+    return (
+        f"with made as materialized ({merge}), washed as materialized ({cleaned('select doc_id, text from made')})"
+        f" select doc_id::varchar as file_name, washed.text as ocr_text, made.text as raw_ocr_text, 0.0::double as processing_time, length(washed.text) as char_count, v.quality, v.issues from made join washed using (doc_id) join ({_validated('select doc_id, text from washed')}) v using (doc_id)"
+    )
 
 
 def _chain(x: str, steps: list[tuple[str, str, str]]) -> str:
@@ -322,6 +381,8 @@ def queries() -> dict[str, str]:
         "status_counts": f"{_report()} select count(*) filter (status = 'success') as ok, count(*) filter (status <> 'success') as failed from p",
         "line_similarity": _similarity(),
         "pick_best_line": _best_line(),
+        "consensus_merge": merged(DOCUMENTS),
+        "service_extract": _service(),
         "strip_scripts": f"select doc_id, {_scripts('text')} as clean from ({noisy('scripts')})",
         "strip_hallucinations": f"select doc_id, {_talk('text')} as clean from ({noisy('talk')})",
         "number_formats": f"select doc_id, {_artifacts('text')} as artifacts, {_numbers('text')} as numbers from ({noisy('numbers')})",
