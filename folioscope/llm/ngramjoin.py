@@ -155,12 +155,19 @@ def _enough(a: Column, b: Column, shared: Column, percent: int) -> Column:
 
 
 def postings(groups: DataFrame) -> DataFrame:
-    """(gram, grp, size, held, weight) of the shingles that are in more than one group's prefix; held: how many of those the group has, weight: in how many prefixes they are, added up."""
+    """(gram, grp, size, held, weight, bits0..3, loose) of the shingles that are in more than one group's prefix.
+
+    held: how many of those the group has; weight: in how many prefixes they are, added up; bits: those 256 slots that they fall in; loose: how many fell in a slot that was taken.
+    """
     every = groups.select(F.explode("prefix").alias("gram"), "grp", "size")
     shared = common.materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("uses", F.col("n")), "ngrams-shared")
     total = shared.agg(F.sum("n")).first()[0] or 0
     post = common.materialize(common.lookup(every, shared, ["gram"], total), "ngrams-postings")
-    of = post.groupBy("grp").agg(F.count("*").alias("held"), F.sum("uses").alias("weight"))
+    slot = F.col("gram").bitwiseAND(255)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    bits = [F.coalesce(F.bit_or(F.when(F.shiftright(slot, 6) == k, bit)), F.lit(0)).alias(f"bits{k}") for k in range(4)]
+    of = post.groupBy("grp").agg(F.count("*").alias("held"), F.sum("uses").alias("weight"), *bits)
+    of = of.withColumn("loose", F.col("held") - sum((F.bit_count(f"bits{k}") for k in range(4)), F.lit(0)))
     return common.materialize(post.drop("uses").join(of, "grp"), "ngrams-weighed")
 
 
@@ -171,7 +178,7 @@ def verified(rows: DataFrame, pairs: DataFrame, n: int = SHINGLE, percent: int =
     slot = F.shiftrightunsigned("node", 41)
     bits = nodes.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits"))
     marks = np.zeros(MARKS // 64, np.int64)
-    for r in bits.toLocalIterator():  # MARKS / 64 rows at most
+    for r in bits.collect():  # MARKS / 64 rows at most
         marks[r["at"]] = r["bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +207,7 @@ def verified(rows: DataFrame, pairs: DataFrame, n: int = SHINGLE, percent: int =
 
 
 def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between nodes that connect all nodes that links connect."""
+    """(a, b): pairs of nodes that connect just the nodes that links connect."""
     nodes = common.materialize(prefixes(rows, counts, n, percent), "ngrams-nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     post = postings(groups)
@@ -223,11 +230,12 @@ def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int =
     mixed = post.groupBy("gram").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.max(F.struct("weight", "grp", "place")).alias("h"), F.count("*").alias("n")).where("p <> q").select("gram", F.col("h.place").alias("main"), "n")
     mixed = common.materialize(mixed, "ngrams-mixed")
     post = common.materialize(common.lookup(post, mixed, ["gram"], total), "ngrams-mixed-postings")
-    left = post.where("place <> main").select("gram", F.col("grp").alias("x"), F.col("size").alias("sx"), F.col("held").alias("hx"), F.col("place").alias("px"))
-    right = post.select("gram", F.col("grp").alias("y"), F.col("size").alias("sy"), F.col("held").alias("hy"), F.col("place").alias("py"), "main")
+    left = post.where("place <> main").select("gram", F.col("grp").alias("x"), F.col("size").alias("sx"), F.col("held").alias("hx"), F.col("place").alias("px"), F.col("loose").alias("ox"), *(F.col(f"bits{k}").alias(f"x{k}") for k in range(4)))
+    right = post.select("gram", F.col("grp").alias("y"), F.col("size").alias("sy"), F.col("held").alias("hy"), F.col("place").alias("py"), F.col("loose").alias("oy"), *(F.col(f"bits{k}").alias(f"y{k}") for k in range(4)), "main")
     one = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
-    # two groups share no more than either shares with anyone
-    fits = _enough(F.col("sx"), F.col("sy"), F.least("hx", "hy"), percent)
+    # two groups share no more than either shares with anyone, nor than the slots that both fill and what fell in taken ones
+    slots = sum((F.bit_count(F.col(f"x{k}").bitwiseAND(F.col(f"y{k}"))) for k in range(4)), F.lit(0))
+    fits = _enough(F.col("sx"), F.col("sy"), F.least(F.col("hx"), F.col("hy"), slots + F.least("ox", "oy")), percent)
     met = left.hint("merge").join(right.hint("merge"), "gram").where((F.col("px") != F.col("py")) & one & fits)
     met = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("shared"), F.first(F.struct("sx", "sy")).alias("s"))
     met = met.where(_enough(F.col("s.sx"), F.col("s.sy"), F.col("shared"), percent)).select("x", "y")
@@ -237,7 +245,9 @@ def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int =
     # nodes of one group that its smallest isn't linked with
     split = placed.join(of.where("split").select("grp"), "grp", "left_semi")
     again = split.select("grp", F.col("node").alias("a"), F.col("root").alias("ra")).join(split.select("grp", F.col("node").alias("b"), F.col("root").alias("rb")), "grp").where("ra <> rb and a < b").select("a", "b")
-    return first.union(verified(rows, pairs.union(again).distinct(), n, percent))
+    # what is known comes as stars, on which components settle at once
+    known = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return known.union(verified(rows, pairs.union(again).distinct(), n, percent))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
