@@ -340,6 +340,11 @@ def _answers() -> str:
     return f"select doc_id, json_data, said_type, case when said_type is not null then {kind} end as document_type, case when said_type is null then null when {kind} = 'unknown' then 30.0::double else 95.0::double end as confidence from (select *, {normal} as normal from (select o_orderkey as doc_id, {column(1)} as json_data, {column(2)} as said_type from orders))"
 
 
+def _recovered() -> str:
+    column = lambda k: render.by_order([row[k] for row in render.BROKEN], "varchar")
+    return f"select o_orderkey as doc_id, {column(1)} as json_data, {column(2)} as how, {column(3)} as reasons from orders"
+
+
 def _pages() -> str:
     """Texts as pages of 64 pixels a row, each pixel with its neighbours."""
     near = ", ".join(f"{'lag' if by > 0 else 'lead'}(v, {abs(by)}) over o as n{k}" for k, by in enumerate((1, -1, 63, 64, 65, -63, -64, -65)))
@@ -396,6 +401,8 @@ def queries() -> dict[str, str]:
         "swift_fix": f"select doc_id, {_swift('text')} as fixed from ({noisy('swift')})",
         "clean_text": cleaned(noisy(*render.MIXED)),
         "parse_json_response": _answers(),
+        "broken_answers": _recovered(),
+        "recovery_counts": f"select how, reason, count(*) as n from (select how, unnest(string_split(reasons, ',')) as reason from ({_recovered()})) group by how, reason",
         "page_steps": _pages(),
         "date_swap": f"select doc_id, nullif(regexp_replace(text, '^(\\d{{1,2}})([/-])(\\d{{1,2}})([/-])(\\d{{2,4}})$', '\\3\\2\\1\\4\\5'), text) as swapped from ({render.of_orders_sql(render.DATES)})",
         "file_filter": f"select doc_id, text as path, regexp_extract(text, '([^/]*)$', 1) as file_name from ({render.of_orders_sql(render.PATHS)}) where regexp_matches(lower(text), '[^/]\\.(jpg|jpeg|png|bmp|tiff|tif|pdf)$')",

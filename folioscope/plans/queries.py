@@ -175,6 +175,21 @@ def parse_json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("f", classify.classify_field(F.col("said_type"))).select("doc_id", "json_data", "said_type", F.col("f.document_type").alias("document_type"), F.col("f.confidence").alias("confidence"))
 
 
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = render.of_orders(spark, sf_dir, [raw for raw, *_ in render.BROKEN])
+    return answers.select("doc_id", jsonx.answer_column(F.col("text")).alias("a")).select("doc_id", "a.json_data", "a.how", F.array_join("a.reasons", ",").alias("reasons"))
+
+
+def broken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is made of forty kinds of broken answers about orders."""
+    return _recovered(spark, sf_dir)
+
+
+def recovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by how they were recovered and by what was forgiven."""
+    return _recovered(spark, sf_dir).select("how", F.explode(F.split("reasons", ",")).alias("reason")).groupBy("how", "reason").agg(F.count("*").alias("n"))
+
+
 def cross_validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level fields of answers about orders, checked against the orders' texts."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
@@ -224,7 +239,7 @@ def page_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         clean_quality_counts, validate_quality, quality_gate, quality_counts, quality_vs_label, most_common_line, char_classes, strip_code_garbage, keyword_scores, structure_scores, classify_vote, all_scores, type_report, type_counts,
-        status_counts, line_similarity, pick_best_line, quality_retries, changed_characters, consensus_merge, full_pipeline, service_extract, parse_json_response, cross_validate_json, file_filter, date_swap, page_steps,
+        status_counts, line_similarity, pick_best_line, quality_retries, changed_characters, consensus_merge, full_pipeline, service_extract, parse_json_response, broken_answers, recovery_counts, cross_validate_json, file_filter, date_swap, page_steps,
     )
     matching = lambda c: T.normal_form(c, hamza=True)
     classes = lambda c: T.normal_form(c, hamza=True, tatweel=True)

@@ -128,6 +128,51 @@ ANSWERS = [
 ]
 
 
+#: Broken answers: (raw, the object, how it is recovered, what was forgiven).
+BROKEN = [
+    ('{"no": {key}, "type": "invoice"}', '{"no": {key}, "type": "invoice"}', "whole", ""),
+    ('Here it is: ```json\n{"no": {key}}\n``` done', '{"no": {key}}', "fenced", ""),
+    ('Answer {"no": {key}} and {"no": 2}', '{"no": {key}}', "braces", ""),
+    ('{"no": {key},}', '{"no": {key}}', "repaired", "comma"),
+    ('{"a": [1, 2, {key},],}', '{"a": [1, 2, {key}]}', "repaired", "comma"),
+    ('{"a": 1 "b": {key}}', '{"a": 1, "b": {key}}', "repaired", "comma"),
+    ('{"a": "x" "b": {key}}', '{"a": "x", "b": {key}}', "repaired", "comma"),
+    ('{"a": "x"\n"b": {key}}', '{"a": "x", "b": {key}}', "repaired", "comma"),
+    ('{"a": 1,, "b": {key}}', '{"a": 1, "b": {key}}', "repaired", "comma"),
+    ('{"a": ["x" "y"], "no": {key}}', '{"a": ["x", "y"], "no": {key}}', "repaired", "comma"),
+    ("{'no': {key}, 'type': 'invoice'}", '{"no": {key}, "type": "invoice"}', "repaired", "quotes"),
+    ("{'name': 'O'Hara', 'no': {key}}", '{"name": "O\'Hara", "no": {key}}', "repaired", "inner quotes,quotes"),
+    ("{“no”: “{key}”}", '{"no": "{key}"}', "repaired", "quotes"),
+    ('{no: {key}, type: invoice}', '{"no": {key}, "type": "invoice"}', "repaired", "bare"),
+    ('{"paid": True, "due": None, "no": {key}}', '{"paid": true, "due": null, "no": {key}}', "repaired", "bare"),
+    ('{"total": {key} AED, "vat": 5%}', '{"total": "{key} AED", "vat": "5%"}', "repaired", "bare"),
+    ('{"date": {day}/{month}/2004, "no": {key}}', '{"date": "{day}/{month}/2004", "no": {key}}', "repaired", "bare"),
+    ('{"no": {key}, // the number\n "type": "memo"}', '{"no": {key}, "type": "memo"}', "repaired", "comment"),
+    ('{/* first */ "no": {key} # last\n}', '{"no": {key}}', "repaired", "comment"),
+    ('{"no": {key}, "title": "cut of', '{"no": {key}, "title": "cut of"}', "repaired", "cut"),
+    ('{"a": [1, {"b": {key}', '{"a": [1, {"b": {key}}]}', "repaired", "cut"),
+    ('{"no": {key}, "la', '{"no": {key}, "la": ""}', "repaired", "colon,cut,value"),
+    ('{"no": {key}, "date":', '{"no": {key}, "date": ""}', "repaired", "cut,value"),
+    ('{"a": [1, {key}, "b": 2}', '{"a": [1, {key}, "b", 2]}', "repaired", "brackets,colon,comma"),
+    ('{"a": {"b": {key}]}', '{"a": {"b": {key}}}', "repaired", "brackets,cut"),
+    ('{"date": , "no": {key}}', '{"date": "", "no": {key}}', "repaired", "value"),
+    ('{"no": {key}, "date": }', '{"no": {key}, "date": ""}', "repaired", "value"),
+    ('{"no" {key}}', '{"no": {key}}', "repaired", "colon"),
+    ('{"no" = {key}}', '{"no": {key}}', "repaired", "colon"),
+    ('{"title": "the "big" one", "no": {key}}', '{"title": "the \\"big\\" one", "no": {key}}', "repaired", "inner quotes"),
+    ('{"title": "two\nlines", "no": {key}}', '{"title": "two\\nlines", "no": {key}}', "repaired", "control"),
+    ('{"rate": .5, "no": {key}}', '{"rate": 0.5, "no": {key}}', "repaired", "number"),
+    ('{"rate": +1.5, "no": {key}}', '{"rate": 1.5, "no": {key}}', "repaired", "number"),
+    ('Sure! {no: {key}} Anything else?', '{"no": {key}}', "repaired", "bare,text around"),
+    ('{no: {key}} {no: 2}', '{"no": {key}}', "repaired", "bare,more"),
+    ("```json\n{'no': {key}}\n```", '{"no": {key}}', "repaired", "quotes,text around"),
+    ('{"نوع": "فاتورة", رقم: {key}}', '{"نوع": "فاتورة", "رقم": {key}}', "repaired", "bare"),
+    ('["no", {key}', '{"raw_text": "[\\"no\\", {key}"}', "none", "no object"),
+    ("no JSON in {key}", '{"raw_text": "no JSON in {key}"}', "none", "no JSON"),
+    ("", '{"raw_text": ""}', "none", "no JSON"),
+]
+
+
 def by_order(values: list[str | None], string: str = "string") -> str:
     """SQL for the value of an order, for both dialects; null where it's None."""
     parts = {"key": f"cast(o_orderkey as {string})", "day": f"cast(o_orderkey % 28 + 1 as {string})", "month": f"cast(o_orderkey % 12 + 1 as {string})"}
