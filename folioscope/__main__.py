@@ -20,7 +20,7 @@ from folioscope import service
 from folioscope.operators import image
 from folioscope.plans import pipeline
 from folioscope.plans.options import Options
-from folioscope.sources import files
+from folioscope.sources import files, metrics
 
 log = logging.getLogger("folioscope")
 
@@ -50,22 +50,15 @@ def write_logs(path: str) -> None:
         log.addHandler(h)
 
 
-def write_all(results: DataFrame, output: str, formats: list[str]) -> DataFrame:
-    """All sinks from one run of the plan; the results as read back."""
+def write_all(results: DataFrame, output: str, formats: list[str]) -> tuple[DataFrame, dict]:
+    """All sinks from one run of the plan; the results as read back, and the run's figures."""
+    results, told = metrics.observed(results)
     results.write.mode("overwrite").parquet(f"{output}/results")
     out = results.sparkSession.read.parquet(f"{output}/results")
     files.write_report(files.report(out), f"{output}/classification_report")
     for name in formats:
         files.write_documents((files.json_form if name == "json" else files.text_form)(out.where("error is null")), f"{output}/{name}")
-    return out
-
-
-def summary(out: DataFrame, seconds: float) -> str:
-    """How many files went well, and the types by frequency."""
-    report = files.report(out)
-    counts = {r.status: r["count"] for r in report.groupBy("status").count().collect()}
-    types = "".join(f"\n   {r.type_en}: {r.n}" for r in files.type_counts(report).collect())  # as many rows as there are types
-    return f"{counts.get('success', 0)} ok | {counts.get('error', 0)} failed | {seconds:.1f}s\nTYPES:{types}"
+    return out, told.get
 
 
 def show(out: DataFrame, most: int | None = None) -> str:
@@ -130,19 +123,19 @@ def main(arguments: list[str] | None = None) -> None:
         passes, answers = read(a.passes), read(a.answers)
         passes = spark.createDataFrame([], "file_name string, pass_idx int, text string") if passes is None else passes
         named = passes.select("file_name") if answers is None else passes.select("file_name").union(answers.select("file_name"))
-        out = write_all(pipeline.run(named.distinct(), pipeline.TableBackend(passes, answers, read(a.retries)), a.processing), a.output, a.formats)
-        log.info(summary(out, time.time() - began))
+        out, told = write_all(pipeline.run(named.distinct(), pipeline.TableBackend(passes, answers, read(a.retries)), a.processing), a.output, a.formats)
+        log.info(metrics.summary(told, time.time() - began))
         files.type_counts(files.report(out)).show(100, False)
     else:
         results = pipeline.run(found(a.input), models, a.processing, options=options)
         if a.mode == "single":
-            out = write_all(results, a.output, [])
+            out, told = write_all(results, a.output, [])
             files.write_documents(files.single_form(out.where("error is null")), f"{a.output}/json")
             print(show(out))
         else:
-            out = write_all(results, a.output, a.formats)
-            print(summary(out, time.time() - began))
-        log.info(summary(out, time.time() - began))
+            out, told = write_all(results, a.output, a.formats)
+            print(metrics.summary(told, time.time() - began))
+        log.info(metrics.summary(told, time.time() - began))
 
 
 if __name__ == "__main__":
