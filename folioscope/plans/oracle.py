@@ -124,13 +124,19 @@ def _structure() -> str:
     return f"select doc_id, {', '.join(sums)} from (select doc_id, {_norm('text', True, True)} as normal, {filled} as filled from r)"
 
 
-def _vote() -> str:
-    """Classification of rendered texts by keywords and structure."""
+def _opinions() -> tuple[str, str]:
+    """(doc_id, k_type, k_conf, keyword_matches) of k, and (doc_id, s_type, s_conf) of s."""
     top = "greatest(" + ", ".join("case " + " ".join(f"when {kind} >= {p} then {c}::double" for p, c in steps) + " else 0.0::double end" for kind, steps, _ in DETECTORS) + ")"
     # of detectors with the largest confidence the first one: its own confidence has to be the largest
     first = "case " + " ".join(f"when (case {' '.join(f'when {kind} >= {p} then {c}::double' for p, c in steps)} else 0.0::double end) = s_conf then {_q(kind)}" for kind, steps, _ in DETECTORS) + " end"
     st = f"select doc_id, case when s_conf > 0 then {first} end as s_type, s_conf from (select *, {top} as s_conf from s)"
     kw = "select doc_id, case when c < 15 then 'unknown' else t end as k_type, round_even(c, 2) as k_conf, m as keyword_matches from (select doc_id, arg_max(document_type, (confidence, -ord)) as t, max(confidence) as c, arg_max(matches, (confidence, -ord)) as m from k group by doc_id)"
+    return kw, st
+
+
+def _vote() -> str:
+    """Classification of rendered texts by keywords and structure."""
+    kw, st = _opinions()
     names = "case document_type " + " ".join(f"when {_q(t)} then {_q(en)}" for t, _, en, _ in DOCUMENT_TYPES) + " end"
     chosen = "case when k_type = 'unknown' and s_type is null then 'unknown' when k_type = 'unknown' then s_type when s_type is null or s_type = k_type or k_conf >= s_conf then k_type else s_type end"
     conf = "case when k_type = 'unknown' then s_conf when s_type is null then k_conf when s_type = k_type then least(greatest(k_conf, s_conf) * 1.1::double, 100) else greatest(k_conf, s_conf) end"
@@ -138,6 +144,32 @@ def _vote() -> str:
     return f"with r as ({render.rendered_sql()}), k as ({_keywords()}), s as ({_structure()}), v as (select doc_id, {chosen} as document_type, {conf} as confidence, {method} as method, case when k_type = 'unknown' and s_type is null then 0 else keyword_matches end as keyword_matches from ({kw}) join ({st}) using (doc_id)), c as (select *, {names} as name_en from v)"
 
 
+def _full() -> str:
+    """Rendered documents through merging, cleaning, grading and the vote of the model's field, keywords and structure."""
+    kw, st = _opinions()
+    kind = "case " + " ".join(f"when {' or '.join(f'contains(normal, {_q(p)})' for p in ps)} then {_q(t)}" for t, ps in TYPE_PATTERNS.items()) + " end"
+    return f"""
+    with r0 as materialized ({render.rendered_sql()}),
+    made as materialized ({merged('select doc_id, text from r0')}),
+    r as materialized ({cleaned('select doc_id, text from made')}),
+    k as ({_keywords()}), s as ({_structure()}),
+    f as (select doc_id, file_name, said, {_norm('said', True, True)} as normal from (select doc_id, file_name, split_part(text, chr(10), 1) as said from r0)),
+    found as (
+      select doc_id, 0 as ord, {kind} as t, 95.0::double as c, 'model_json_field' as m, said from f
+      union all select doc_id, 1, k_type, k_conf, 'keyword_matching', '' from ({kw}) where k_type <> 'unknown'
+      union all select doc_id, 2, s_type, s_conf, 'structural_pattern', '' from ({st})),
+    counted as (select *, count(*) over (partition by doc_id, t) as n from found where t is not null),
+    lead as (select doc_id, arg_max(t, (n, -ord)) as t, max(n) as n from counted group by doc_id),
+    votes as (select counted.*, lead.n as most from counted join lead using (doc_id) where lead.n = 1 or counted.t = lead.t),
+    chosen as (
+      select doc_id, arg_max(t, (c, -ord)) as document_type, case when most > 1 then least(max(c) * case most when 2 then 1.1::double else 1.2::double end, 100.0::double) else max(c) end as confidence,
+        case when most > 1 then string_agg(m, ' + ' order by ord) else arg_max(m, (c, -ord)) end as method, nullif(arg_max(said, (c, -ord)), '') as model_said
+      from votes group by doc_id, most)
+    select file_name, r.text as clean_ocr_text, '{{"document_type": "' || f.said || '", "invoice_date": null}}' as json_data, g.quality as gate, v.quality, coalesce(document_type, 'unknown') as document_type,
+      coalesce(confidence, 0.0::double) as confidence, coalesce(method, 'no_match') as method, model_said
+    from f join r using (doc_id) join ({_gate('select doc_id, text from r')}) g using (doc_id) join ({_validated('select doc_id, text from r')}) v using (doc_id) left join chosen using (doc_id)"""
+
+
 def _report() -> str:
     quality = _validation("select doc_id, text from r")
     return f"{_vote()}, q as ({quality}), t as (select r.file_name, r.doc_id % 97 <> 0 as ok, c.*, q.quality from r join c using (doc_id) join q using (doc_id)), p as (select file_name, case when ok then 'success' else 'error' end as status, case when ok then document_type else 'error' end as document_type, case when ok then name_en else 'Error' end as type_en, case when ok then round_even(confidence, 4) else 0.0::double end as confidence, case when ok then method else '' end as method, 0.0::double as processing_time, case when ok then quality else 'error' end as quality from t)"
@@ -388,6 +420,7 @@ def queries() -> dict[str, str]:
         "pick_best_line": _best_line(),
         "consensus_merge": merged(DOCUMENTS),
         "service_extract": _service(),
+        "full_pipeline": _full(),
         "strip_scripts": f"select doc_id, {_scripts('text')} as clean from ({noisy('scripts')})",
         "strip_hallucinations": f"select doc_id, {_talk('text')} as clean from ({noisy('talk')})",
         "number_formats": f"select doc_id, {_artifacts('text')} as artifacts, {_numbers('text')} as numbers from ({noisy('numbers')})",
