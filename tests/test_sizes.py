@@ -48,3 +48,16 @@ def test_steps_whose_sign_is_missing_do_nothing_and_others_work(one):
     assert one(lines.drop_near_duplicates, "a\nA\n a\nb\na", "a\na\na", "\n\n\n\n\n", None) == ["a\nA\n a\nb", "a\na\na", "\n\n\n\n\n", None]
     assert one(lambda t: T.count_chars(t, "a-zA-Z"), "ab 1c", "", None) == [3, 0, None]
     assert [g["quality"] for g in one(grade.gate, "x" * 40 + "\ny" * 4, None)] == ["needs_review", "poor"]
+
+
+def test_only_lines_that_a_text_takes_are_gathered(spark, tmp_path):
+    orders = "o_orderkey long, o_custkey long"
+    spark.createDataFrame([(k, 1) for k in range(-8, 16)], orders).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, "Ann")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    lines = [(k, p, 7, n, 2.0) for k in range(16) for n, p in ((2, 5), (1, 9), (1, 4))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = render.rendered(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+    texts = {r.doc_id: r.text for r in found.collect()}
+    assert len(texts) == 24 and texts[-8].count("\n") == 7
+    assert "\n4 x 2 at 7.50\n9 x 2 at 7.50\n5 x 2 at 7.50\nSubtotal" in texts[8] and "\n01/02/2004 4.25\n01/02/2004 9.25\n02/02/2004 5.25\n" in texts[10] and texts[15] == "order 15 for Ann"
