@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.sources.storage import materialize, new_path, shared_dir, spread  # noqa: F401
+from folioscope.sources.storage import materialize, new_path, observed, shared_dir, spread  # noqa: F401
 
 #: Words of every operator here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n", most: int | None = None) -> DataFrame:
     """Inner join of rows with `table`, whose keys are unique and whose column `n` says how many of the `total` rows hold them.
 
     Rows of hot keys meet their (fewer than HOT) table rows by broadcast and aren't shuffled, so no task gets more than one in HOT rows of a key.
+    With `most`, the largest `n`, it's a plain join where no key is hot.
     """
+    if most is not None and most <= total / HOT:
+        return rows.join(table.drop(n), keys)
     hot = F.col(n) > total / HOT
     few = table.where(hot).drop(n)
     often = rows.join(F.broadcast(few), keys)
@@ -71,25 +74,21 @@ def map_slices(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Recor
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: long); root is the smallest node it reaches.
 
-    Alternating large-star and small-star rounds; each round is written, so lineage stays short. No node's
-    neighbours are ever gathered in one row: minima are pre-aggregated, and edges of nodes with very many meet them by `lookup`.
+    Alternating large-star and small-star rounds; each round's tables are written, so lineage and plans stay short: the driver holds the plan of every query
+    it ran. The graph has settled when each node is a smallest one or has no neighbour but its smallest, which is observed while neighbours are counted, so
+    no round or job only finds that out. No node's neighbours are ever gathered in one row: minima are pre-aggregated, and edges of nodes with very many meet them by `lookup`.
     """
-    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = materialize(e, "cc"), None
+    e = materialize(e, "cc")
     for _ in range(max_rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = lookup(both, low, ["u"], 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low, seen = observed(low, "cc-low", open=F.count_if(F.expr("m < u and n > 1")), total=F.sum("n"), most=F.max("n"))
+        if not seen["open"]:
+            return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        large = lookup(both, low, ["u"], seen["total"], most=seen["most"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every u has its neighbours' minima here, which are as few as its neighbours; a hub's are nearly all one value
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.union(low.select("u", "m")).distinct(), "cc")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+        large = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        e = large.select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))))
+        e = materialize(e.where("a <> b").distinct(), "cc")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

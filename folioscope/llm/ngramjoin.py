@@ -160,9 +160,9 @@ def postings(groups: DataFrame) -> DataFrame:
     held: how many of those the group has; weight: in how many prefixes they are, added up; bits: those 256 slots that they fall in; loose: how many fell in a slot that was taken.
     """
     every = groups.select(F.explode("prefix").alias("gram"), "grp", "size")
-    shared = common.materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("uses", F.col("n")), "ngrams-shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    post = common.materialize(common.lookup(every, shared, ["gram"], total), "ngrams-postings")
+    shared = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("uses", F.col("n"))
+    shared, seen = common.observed(shared, "ngrams-shared", total=F.sum("n"), most=F.max("n"))
+    post = common.materialize(common.lookup(every, shared, ["gram"], seen["total"] or 0, most=seen["most"] or 0), "ngrams-postings")
     slot = F.col("gram").bitwiseAND(255)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
     bits = [F.coalesce(F.bit_or(F.when(F.shiftright(slot, 6) == k, bit)), F.lit(0)).alias(f"bits{k}") for k in range(4)]
@@ -213,23 +213,24 @@ def links(rows: DataFrame, counts: np.ndarray, n: int = SHINGLE, percent: int =
     post = postings(groups)
     # first: each group against the one of its posting that shares most, and a group's nodes against its smallest
     heads = post.groupBy("gram").agg(F.max(F.struct("weight", "grp", "size")).alias("h"), F.count("*").alias("n")).select("gram", F.col("h.grp").alias("head"), F.col("h.size").alias("hs"), "n")
-    total = post.count()
-    met = common.lookup(post, heads, ["gram"], total).where("grp <> head").groupBy("head", "grp").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("hs").alias("hs"))
+    heads, seen = common.observed(heads, "ngrams-heads", total=F.sum("n"), most=F.max("n"))
+    total = seen["total"] or 0
+    met = common.lookup(post, heads, ["gram"], total, most=seen["most"] or 0).where("grp <> head").groupBy("head", "grp").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("hs").alias("hs"))
     met = met.where(_enough(F.col("size"), F.col("hs"), F.col("shared") * 2, percent)).select("head", "grp")
     lead = common.materialize(groups.select("grp", "lead"), "ngrams-leads")
     pairs = met.join(lead, "grp").select("head", F.col("lead").alias("b")).join(lead.select(F.col("grp").alias("head"), F.col("lead").alias("a")), "head").select("a", "b")
     inner = nodes.join(lead, "grp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     first = common.materialize(verified(rows, pairs.union(inner), n, percent), "ngrams-links")
     # then: all pairs of groups that share enough and aren't known to be in one component
-    found = common.materialize(common.connected_components(first), "ngrams-components")
+    found = common.connected_components(first)
     placed = common.materialize(nodes.select("node", "size", "grp").join(found, "node", "left").select("node", "size", "grp", F.coalesce("root", "node").alias("root")), "ngrams-placed")
     of = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     # a group in several components gets a name of its own
     of = common.materialize(of.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("grp")).alias("place"), (F.col("low") != F.col("high")).alias("split")), "ngrams-places")
     post = post.join(of, "grp")
     mixed = post.groupBy("gram").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.max(F.struct("weight", "grp", "place")).alias("h"), F.count("*").alias("n")).where("p <> q").select("gram", F.col("h.place").alias("main"), "n")
-    mixed = common.materialize(mixed, "ngrams-mixed")
-    post = common.materialize(common.lookup(post, mixed, ["gram"], total), "ngrams-mixed-postings")
+    mixed, seen = common.observed(mixed, "ngrams-mixed", most=F.max("n"))
+    post = common.materialize(common.lookup(post, mixed, ["gram"], total, most=seen["most"] or 0), "ngrams-mixed-postings")
     left = post.where("place <> main").select("gram", F.col("grp").alias("x"), F.col("size").alias("sx"), F.col("held").alias("hx"), F.col("place").alias("px"), F.col("loose").alias("ox"), *(F.col(f"bits{k}").alias(f"x{k}") for k in range(4)))
     right = post.select("gram", F.col("grp").alias("y"), F.col("size").alias("sy"), F.col("held").alias("hy"), F.col("place").alias("py"), F.col("loose").alias("oy"), *(F.col(f"bits{k}").alias(f"y{k}") for k in range(4)), "main")
     one = (F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))
@@ -254,11 +255,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
     rows = documents(docs, id_col, text_col)
     every, counts = measured(rows, n)
-    found = common.materialize(common.connected_components(links(rows, counts, n, percent)), "ngrams-roots")
+    found = common.connected_components(links(rows, counts, n, percent))
     least = common.materialize(every.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "ngrams-least")
     tied = least.join(found, "node").select("node", "least", "root")
-    tops = tied.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("n"))
-    tied = common.lookup(tied, tops, ["root"], found.count()).select("node", "top")
+    tops, seen = common.observed(tied.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("n")), "ngrams-tops", total=F.sum("n"), most=F.max("n"))
+    tied = common.lookup(tied, tops, ["root"], seen["total"] or 0, most=seen["most"] or 0).select("node", "top")
     of = common.materialize(least.join(tied, "node", "left").select("node", "n", F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id")), "ngrams-of")
     linked = common.lookup(every.where("size > 0"), of, ["node"], every.count()).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return linked.unionByName(every.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))

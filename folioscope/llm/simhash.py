@@ -147,18 +147,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Fingerprints of n-word shingles link at `bits`, which short texts hardly reach. With `percent` texts also link, exactly, whose sets of shingles are alike to that.
     """
-    rows = common.materialize(fingerprints(docs, id_col, text_col, n), "simhash")
+    rows, seen = common.observed(fingerprints(docs, id_col, text_col, n), "simhash", n=F.count("*"))
     least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-least")
     every = links(least.select("fp"), bits)
     if percent is not None:
         every = every.union(similar(docs, rows, id_col, text_col, n, percent))
-    found = common.materialize(common.connected_components(every), "simhash-components")
+    found = common.connected_components(every)
     # only linked fingerprints are looked up; the others stand for themselves
     tied = least.join(found, least.fp == found.node).select("fp", "least", "root")
-    tops = tied.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("n"))
-    tied = common.lookup(tied, tops, ["root"], found.count()).select("fp", "root", "top")
+    tops, held = common.observed(tied.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("n")), "simhash-tops", total=F.sum("n"), most=F.max("n"))
+    tied = common.lookup(tied, tops, ["root"], held["total"] or 0, most=held["most"] or 0).select("fp", "root", "top")
     of = least.join(tied, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id"))
-    return common.lookup(rows, common.materialize(of, "simhash-of"), ["fp"], rows.count())
+    of, held = common.observed(of, "simhash-of", most=F.max("n"))
+    return common.lookup(rows, of, ["fp"], seen["n"], most=held["most"] or 0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

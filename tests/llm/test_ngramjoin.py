@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import ngramjoin, simhash
+from folioscope.llm import common, ngramjoin, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -132,3 +132,19 @@ def test_simhash_and_similar_texts_together(spark):
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == sorted(d for d, _ in want if d is not None) and len(kept) == len(want)
     caught = sum(len({d for _, d, _ in g if d is not None}) - 1 for g in groups.values() if any(d is not None for _, d, _ in g))
     assert caught > 50  # by either way
+
+
+def test_components_take_few_jobs_and_short_plans(spark):
+    """The driver holds every query's plan and tasks: a graph of stars takes no round."""
+
+    def run(edges, group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, jobs
+
+    stars, jobs = run([(k, k % 5) for k in range(5, 300)], "stars")
+    assert stars == {k: k % 5 for k in range(300)} and jobs <= 6
+    assert run([(k, k + 1) for k in range(6)], "path")[0] == dict.fromkeys(range(7), 0)
+    assert run([], "none")[0] == {} and run([(3, 3)], "loop")[0] == {}
