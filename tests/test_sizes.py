@@ -34,6 +34,13 @@ def test_one_row_group_is_dealt_over_many_parts(spark, tmp_path, monkeypatch):
         assert sum(sizes) == 4000 and max(sizes) < 300
 
 
+def test_texts_that_are_stored_once_are_dealt_by_rows(spark, tmp_path):
+    spark.range(200_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("line of a text\n"), 100).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (queries._documents(spark, str(tmp_path)), render.noisy(spark, str(tmp_path), "normal")):
+        sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == 200_000 and max(sizes) < 3000
+
+
 def test_white_space_at_ends(one):
     every = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     assert set(every) == set(T.SPACES)
