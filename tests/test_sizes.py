@@ -68,3 +68,35 @@ def test_only_lines_that_a_text_takes_are_gathered(spark, tmp_path):
     texts = {r.doc_id: r.text for r in found.collect()}
     assert len(texts) == 24 and texts[-8].count("\n") == 7
     assert "\n4 x 2 at 7.50\n9 x 2 at 7.50\n5 x 2 at 7.50\nSubtotal" in texts[8] and "\n01/02/2004 4.25\n01/02/2004 9.25\n02/02/2004 5.25\n" in texts[10] and texts[15] == "order 15 for Ann"
+
+
+def test_lines_that_documents_share_are_compared_once(monkeypatch):
+    calls, like = [0], merge.Line._like
+
+    def counted(self, other, least):
+        found = like(self, other, least)
+        calls[0] += found >= 0
+        return found
+
+    monkeypatch.setattr(merge.Line, "_like", counted)
+    form = "Shared Voucher\nBank of the form\nNet of the form\nDebit\nCredit"
+    for k in range(300):
+        text = f"{form}\n{k}"
+        assert merge.merge([text, text.replace("th", "tn"), text.split("\n", 1)[1].replace("on", "an")]).startswith("Shared Voucher\nBank of the form")
+    assert calls[0] < 1200
+
+
+def test_full_pipeline_seeks_strings_once(spark):
+    plan = queries.queries()["full_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[seek(") == 1
+
+
+def test_lines_and_repetitions_of_odd_texts(one):
+    rnd = random.Random(8)
+    parts = ["a", "A", " a", "a\t", "No. 1", "no 2", "\x1cb", "", " ", "b\xa0", "　", "أحمد", "احمد", "abcdefghijklmnop 1", "abcdefghijklmnop 2", "ABCDEFGHIJKLMNOP  3"]
+    texts = ["\n".join(rnd.choices(rnd.sample(parts, rnd.choice([1, 2, 3, 8])), k=rnd.choice([1, 3, 4, 9, 20]))) for _ in range(400)] + ["", "\n", None]
+    plain = one(lines.drop_prefix_loops, *one(lines.drop_near_duplicates, *one(lines.drop_runs, *texts)))
+    assert one(clean.drop_repetitions, *texts) == plain
+    assert one(T.filled_lines, *texts) == [None if t is None else [x.strip() for x in t.split("\n") if x.strip()] for t in texts]
+    assert one(T.squeeze, *texts) == one(lambda t: T.strip(T.sub(t, r"\s{2,}|[\s&&[^ ]]", " ")), *texts)
+    assert one(T.split_words, *texts) == [None if t is None else t.split() for t in texts]
